@@ -10,10 +10,9 @@ Documents are sets of k-word shingles; two link when ``den * |A & B| >= num * |A
 3. Each class picks the m from 1 to ``most`` that costs least by the counts of its prefix: longer
    prefixes read more postings, but a pair must share more of them before its sets are compared.  A pair
    needs the smaller m of the two.
-4. Verification compares whole sets.  Two rounds join each posting list's members to one of them (no
-   pairs within the list), which ties groups of near copies together.  The last round compares, exactly,
-   every remaining candidate pair whose classes are still in different groups; pairs within a group
-   could add no more to the result.
+4. Verification compares whole sets.  First the members of each posting list meet two of them (no pairs
+   within the list), which ties groups of near copies together.  Then every remaining candidate pair whose
+   classes are still in different groups is compared; pairs within a group could add no more to the result.
 """
 
 from __future__ import annotations
@@ -135,7 +134,7 @@ def connected(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") ->
     proportion to the edges, and a node with very many neighbours is only ever a group-by key.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = scratch.write(e, "edges")
+    e, was = scratch.write(e, "edges"), None
     while True:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -144,12 +143,12 @@ def connected(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") ->
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         new = scratch.write(small.where("u <> v").distinct(), "edges")
-        moved = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        was = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         scratch.drop(e)
         e = new
-        if moved == was:
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if now == was:
             break
+        was = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
@@ -175,8 +174,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, m
 
     # sets of the classes that have candidates at all; one member's text is read again for each
     lively = postings.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token")
-    postings = scratch.write(postings.join(lively, "token", "left_semi"), "postings")
-    wanted = postings.select("cls").distinct().join(classes, "cls").select("cls", F.col("k").alias("_k"), F.col("th").alias("_th"))
+    wanted = postings.join(lively, "token", "left_semi").select("cls").distinct().join(classes, "cls").select("cls", F.col("k").alias("_k"), F.col("th").alias("_th"))
     source = docs.select(docs[key].alias("k"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("t"))
     found = source.join(wanted, source["k"].eqNullSafe(wanted["_k"]) & (source["th"] == wanted["_th"])).select("cls", "t")
 
@@ -188,33 +186,29 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, m
 
     full = scratch.write(found.mapInArrow(whole, "cls long, members binary").dropDuplicates(["cls"]), "full")
 
-    links, tried, comp = None, None, None
-    for step in ("least", "hash", "all"):
-        p = postings
-        if comp is not None:
-            p = p.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        else:
-            p = p.withColumn("comp", F.col("cls"))
-        x = p.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("comp").alias("ca"))
-        if step == "all":
-            mixed = p.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-            x = scratch.write(x.join(mixed, "token", "left_semi"), "mixed")
-            y = x.select("token", *[F.col(c).alias(c.replace("a", "b")) for c in ("a", "na", "ma", "ca")])
-            met = x.join(y, "token").where("a < b")
-        else:
-            order = F.struct("n", "cls") if step == "least" else F.struct(F.xxhash64("cls"), "n", "cls")
-            mid = p.groupBy("token").agg(F.min_by(F.struct("cls", "n", "m", "comp"), order).alias("c"))
-            mid = mid.select("token", F.col("c.cls").alias("b"), F.col("c.n").alias("nb"), F.col("c.m").alias("mb"), F.col("c.comp").alias("cb"))
-            met = x.join(mid, "token").where("a <> b")
-        met = met.where((F.col("ca") != F.col("cb")) & (F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")))
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("ma", "mb").alias("m")).groupBy("a", "b", "m").count().where("count >= m")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        checked = scratch.write(_verified(pairs, full, num, den), f"checked-{step}")
-        ok = checked.where("ok").select("a", "b")
-        links = ok if links is None else links.union(ok)
-        tried = checked.select("a", "b") if tried is None else tried.union(checked.select("a", "b"))
-        comp = connected(links, scratch)
+    def candidates(met: DataFrame) -> DataFrame:
+        close = F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")
+        pairs = met.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("ma", "mb").alias("m"), "via")
+        return pairs.groupBy("a", "b", "m", "via").count().where("count >= m").select("a", "b").distinct()
+
+    # members of a posting list meet its smallest set, and the one with the least hash
+    at = postings.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"))
+    one = F.struct("cls", "n", "m")
+    mids = postings.groupBy("token").agg(F.array(F.struct(F.lit(0).alias("via"), F.min_by(one, F.struct("n", "cls")).alias("c")), F.struct(F.lit(1).alias("via"), F.min_by(one, F.struct(F.xxhash64("cls"), "cls")).alias("c"))).alias("mids"))
+    mids = mids.select("token", F.inline("mids")).select("token", "via", F.col("c.cls").alias("b"), F.col("c.n").alias("nb"), F.col("c.m").alias("mb"))
+    checked = scratch.write(_verified(candidates(at.join(mids, "token").where("a <> b")), full, num, den), "centres")
+    comp = connected(checked.where("ok").select("a", "b"), scratch)
+
+    # exact rest: all pairs of a posting list whose classes are in different groups
+    p = postings.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    p = scratch.write(p, "grouped")
+    mixed = p.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    x = p.join(mixed, "token", "left_semi").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("comp").alias("ca"))
+    y = x.select("token", *[F.col(c).alias(c.replace("a", "b")) for c in ("a", "na", "ma", "ca")])
+    met = x.join(y, "token").where("a < b and ca <> cb").withColumn("via", F.lit(2))
+    rest = scratch.write(_verified(candidates(met).join(checked, ["a", "b"], "left_anti"), full, num, den), "rest").where("ok").select("a", "b")
+    if not rest.isEmpty():
+        comp = connected(rest.union(comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))), scratch)
 
     labelled = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = labelled.groupBy("comp").agg(F.min("k").alias("component_id"))
