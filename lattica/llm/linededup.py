@@ -78,7 +78,8 @@ def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "
     gone = scratch.write(gone, "gone").select(F.col("k").alias("_k"), F.col("th").alias("_th"), "gone")
 
     base = docs.drop(*own).withColumn("_h", F.xxhash64(text))
-    out = base.join(gone, base[key].eqNullSafe(gone["_k"]) & (base["_h"] == gone["_th"]), "left")
+    # the list of deletions grows with the corpus: the same join at every size, never a broadcast
+    out = base.join(gone.hint("merge"), base[key].eqNullSafe(gone["_k"]) & (base["_h"] == gone["_th"]), "left")
     lines = F.split(text, "\n", -1)
     blank = F.transform(lines, lambda x: ~x.rlike(_WORD))
     drop = F.coalesce("gone", F.array().cast("array<int>"))
