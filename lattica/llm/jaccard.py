@@ -3,16 +3,16 @@
 Documents are sets of k-word shingles; two link when ``den * |A & B| >= num * |A | B|``.
 
 1. Equal sets become one class (grouped by a 128-bit hash of the set), so copies never meet in pairs.
-2. Shingles are ordered: first those with the least hashes ("counted", a ``fraction`` of all), by the
-   logarithm of the number of classes that hold them, then by hash; then all others by hash.
-   Counts are pre-aggregated.  Linked sets share a shingle within the first ``n - ceil(t n) + 1`` of
-   either, and m shingles within prefixes that are m - 1 longer.
-3. Each class picks the m from 1 to ``most`` that costs least by the counts of its prefix: longer
-   prefixes read more postings, but a pair must share more of them before its sets are compared.  A pair
-   needs the smaller m of the two.
-4. Verification compares whole sets.  First the members of each posting list meet two of them (no pairs
-   within the list), which ties groups of near copies together.  Then every remaining candidate pair whose
-   classes are still in different groups is compared; pairs within a group could add no more to the result.
+2. Classes that can have no partner leave first: among the shingles with the least hashes (a ``fraction``
+   of all) they have so many that no other class holds that these alone fill their prefix.
+3. For the rest all shingles are counted and ordered, rare ones first.  Linked sets share a shingle within
+   the first ``n - ceil(t n) + 1`` of either, and m shingles within prefixes that are m - 1 longer.
+   Each class picks the m that costs least by the counts of its prefix: longer prefixes read more
+   postings, but a pair must share more of them (the smaller m of the two) before its sets are compared.
+4. Posting lists of up to ``SHORT`` classes are joined with themselves.  Longer lists stand for groups of
+   near copies: the classes that such lists tie together are dealt into blocks, and each pair of blocks
+   of near sizes is one task's work, in which pairs are counted, compared, and skipped once links already
+   connect them.  A task returns links of a spanning forest: no pair of a group is ever a row.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from lattica.llm.storage import Scratch, bounded_batches
 
 MOST = 4
+SHORT = 24
+BLOCK = 256
 
 
 def need(n: int, num: int, den: int) -> int:
@@ -42,8 +44,8 @@ def set_of(h: np.ndarray, k: int) -> np.ndarray:
     return np.unique(shingles(h, k))
 
 
-def _sets(docs: DataFrame, k: int, num: int, den: int, most: int, fraction: float, text: str, key: str) -> DataFrame:
-    """row, key, th (hash of the text), n, sig, counted (number of tokens below ``fraction``), tokens (least hashes first)."""
+def _sets(docs: DataFrame, k: int, fraction: float, text: str, key: str) -> DataFrame:
+    """row, key, th (hash of the text), n, sig, tokens (its shingles with hashes in the least ``fraction``)."""
     rows = docs.select(docs[key].alias("k"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
     border = np.uint64(min(fraction, 0.999999) * 2**64)
@@ -53,60 +55,125 @@ def _sets(docs: DataFrame, k: int, num: int, den: int, most: int, fraction: floa
 
         row = TaskContext.get().partitionId() << 40
         for b in batches:
-            n, sig, counted, tokens = [], [], [], []
+            n, sig, tokens = [], [], []
             for h in hashed_batch(b.column(2)):
                 u = set_of(h, k)
-                low = int(np.searchsorted(u, border))
-                longest = len(u) - need(len(u), num, den) + most
-                n.append(len(u)), counted.append(low), tokens.append(u[: max(low, longest)].view(np.int64))
+                n.append(len(u)), tokens.append(u[: int(np.searchsorted(u, border))].view(np.int64))
                 sig.append(xxhash.xxh3_128_digest(u.tobytes()) + len(u).to_bytes(4, "little"))
             ends = np.cumsum([0, *map(len, tokens)])
             flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
             rows = pa.array(np.arange(row, row + len(n)), pa.int64())
             row += len(n)
-            yield pa.RecordBatch.from_arrays([rows, b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(counted, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["row", "k", "th", "n", "sig", "counted", "tokens"])
+            yield pa.RecordBatch.from_arrays([rows, b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["row", "k", "th", "n", "sig", "tokens"])
 
-    return rows.mapInArrow(run, f"row long, k {kind}, th long, n int, sig binary, counted int, tokens array<long>")
+    return rows.mapInArrow(run, f"row long, k {kind}, th long, n int, sig binary, tokens array<long>")
 
 
-def choose_prefix(n: int, counted: int, counts: list[int], ranks: list[int], num: int, den: int, most: int) -> tuple[int, int]:
+def choose_prefix(n: int, counts: list[int], ranks: list[int], num: int, den: int, most: int) -> tuple[int, int]:
     """(m, prefix length) of least estimated cost.  ``ranks`` and ``counts``: place and count of the shared shingles, in order."""
     base, best = n - need(n, num, den), None
-    for m in range(1, min(most, max(1, n - base)) + 1):
+    for m in range(1, min(most, n - base) + 1):
         read = sum(c - 1 for c, r in zip(counts, ranks, strict=True) if r < base + m)
         cost = read + (read / m**2) * (4 + n / 64)  # postings read, then pairs compared
         if best is None or cost < best[0]:
-            best = (cost, m, min(n, base + m))
+            best = (cost, m, base + m)
     return best[1], best[2]
 
 
-def _postings(sets: DataFrame, num: int, den: int, most: int) -> DataFrame:
-    """token, cls, n, m: the prefixes' shingles that more than one class holds."""
-    each = sets.select("cls", "n", "counted", F.posexplode("tokens").alias("pos", "token"))
-    shared = sets.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1")
-    held = each.join(shared, "token").groupBy("cls", "n", "counted").agg(F.collect_list(F.struct("pos", "token", F.col("count").alias("df"))).alias("held"))
+def _postings(full: DataFrame, num: int, den: int, most: int) -> DataFrame:
+    """token, cls, n, m: the prefixes' shingles that more than one class holds.  ``full``: cls, n, tokens."""
+    each = full.select("cls", "n", F.explode("tokens").alias("token"))
+    shared = each.groupBy("token").count().where("count > 1")
+    held = each.join(shared.hint("merge"), "token").groupBy("cls", "n").agg(F.collect_list(F.struct(F.col("count").alias("df"), "token")).alias("held"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for r in b.to_pylist():
-                n, counted = r["n"], r["counted"]
-                low = sorted(((x["df"].bit_length(), x["pos"], x["token"], x["df"]) for x in r["held"] if x["pos"] < counted))
-                high = sorted((x["pos"], x["token"], x["df"]) for x in r["held"] if x["pos"] >= counted)
-                single = counted - len(low)
-                tokens = [x[2] for x in low] + [x[1] for x in high]
-                counts = [x[3] for x in low] + [x[2] for x in high]
-                ranks = [single + i for i in range(len(low))] + [x[0] for x in high]
-                m, length = choose_prefix(n, counted, counts, ranks, num, den, most)
-                used = [t for t, rank in zip(tokens, ranks, strict=True) if rank < length]
-                if len(used) >= 1:
-                    out += [(t, r["cls"], n, m) for t in used]
+            for cls, n, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                df, token = (np.asarray(held.values.field(i)) for i in range(2))
+                order = np.lexsort((token.view(np.uint64), np.log2(df).astype(np.int64)))
+                single = n - len(order)
+                last = n - need(n, num, den) + most - single  # nothing beyond the longest prefix matters
+                order = order[: max(0, last)]
+                m, length = choose_prefix(n, [int(x) for x in df[order]], list(range(single, single + len(order))), num, den, most)
+                out += [(t, cls, n, m) for t in token[order[: max(0, length - single)]].tolist()]
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["token", "cls", "n", "m"])
 
     return held.mapInArrow(run, "token long, cls long, n int, m int")
 
 
+def forest(sets: list[np.ndarray], prefixes: list[list[int]], m: list[int], sides: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Links between members that connect whatever links connect: of side 0 with side 1, or of one side with itself.
+
+    Candidates share enough prefix shingles and are near in size; they are compared unless they are connected.
+    """
+    n = len(sets)
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    met: dict[int, list[int]] = {}
+    for i, p in enumerate(prefixes):
+        for t in p:
+            met.setdefault(t, []).append(i)
+    shared = np.zeros((n, n), np.uint16)
+    for members in met.values():
+        if len(members) > 1:
+            at = np.array(members)
+            shared[np.ix_(at, at)] += 1
+    size, least = np.array([len(x) for x in sets]), np.array(m)
+    fits = (shared >= np.minimum(least[:, None], least[None, :])) & (den * np.minimum(size[:, None], size[None, :]) >= num * np.maximum(size[:, None], size[None, :]))
+    if 1 in sides:
+        side = np.array(sides)
+        fits &= side[:, None] != side[None, :]
+    out = []
+    a, b = np.nonzero(np.triu(fits, 1))
+    order = np.argsort(-shared[a, b].astype(np.int64), kind="stable")  # likely links first: they spare the most comparisons
+    for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
+        x, y = find(i), find(j)
+        if x != y and linked(sets[i], sets[j], num, den):
+            root[y] = x
+            out.append((i, j))
+    return out
+
+
+def linked(u: np.ndarray, v: np.ndarray, num: int, den: int) -> bool:
+    both = np.concatenate([u, v])
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return den * same >= num * (len(u) + len(v) - same)
+
+
+def _grouped(postings: DataFrame, full: DataFrame, groups: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) within groups of classes (cls, grp) that long posting lists tie together."""
+    members = postings.groupBy("cls").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.collect_list("token").alias("prefix")).join(groups, "cls")
+    step = float(np.log(den / num)) or 1.0
+    members = members.withColumn("level", F.floor(F.log("n") / step).cast("int"))
+    counts = members.groupBy("grp", "level").count().withColumn("parts", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
+    members = scratch.write(members.join(counts, ["grp", "level"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts"))), "members")
+    blocks = counts.select("grp", "level", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    x = blocks.select("grp", F.col("level").alias("l1"), F.col("part").alias("p1"))
+    y = blocks.select("grp", F.col("level").alias("l2"), F.col("part").alias("p2"))
+    near = (F.col("l2") == F.col("l1") + 1) | ((F.col("l2") == F.col("l1")) & (F.col("p2") >= F.col("p1")))
+    work = x.join(y, "grp").where(near).select("grp", F.xxhash64("grp", "l1", "p1", "l2", "p2").alias("unit"), F.array(F.struct(F.col("l1").alias("level"), F.col("p1").cast("bigint").alias("part"), F.lit(0).alias("side")), F.struct(F.col("l2").alias("level"), F.col("p2").cast("bigint").alias("part"), F.lit(1).alias("side"))).alias("ends"), ((F.col("l1") == F.col("l2")) & (F.col("p1") == F.col("p2"))).alias("same"))
+    ends = work.select("grp", "unit", "same", F.inline("ends")).where("not same or side = 0").drop("same")
+    dealt = ends.join(members.withColumn("part", F.col("part").cast("bigint")), ["grp", "level", "part"]).select("unit", "side", "cls", "m", "prefix").join(full.select("cls", "members"), "cls")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("side", "ascending"), ("cls", "ascending")])
+        cls = t.column("cls").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("members").to_pylist()]
+        found = forest(sets, t.column("prefix").to_pylist(), t.column("m").to_pylist(), t.column("side").to_pylist(), num, den)
+        return pa.table([pa.array([cls[i] for i, _ in found], pa.int64()), pa.array([cls[j] for _, j in found], pa.int64())], names=["a", "b"])
+
+    return scratch.write(dealt.groupBy("unit").applyInArrow(run, "a long, b long"), "links")
+
+
 def _verified(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) with ``ok``: whether the whole sets link."""
     x = full.select(F.col("cls").alias("a"), F.col("members").alias("x"))
@@ -117,11 +184,7 @@ def _verified(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFram
         for b in batches:
             ok = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([u, v])
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                ok.append(den * same >= num * (len(u) + len(v) - same))
+                ok.append(linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     return both.mapInArrow(run, "a long, b long, ok boolean")
@@ -163,52 +226,57 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, m
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "jaccard")
-    # the prefix takes a share (1 - t) of a set; twice that is counted, so that half of it can be passed over
+    # a prefix takes a share (1 - t) of a set; twice that is looked at for shingles that nobody else has
     fraction = min(1.0, 2 * (den - num) / den)
-    sets = scratch.write(_sets(docs, k, num, den, most, fraction, text, key), "sets")
+    sets = scratch.write(_sets(docs, k, fraction, text, key), "sets")
     one = F.struct(F.col("k").isNull().alias("no"), "k", "th", "row")
-    classes = sets.where("n > 0").groupBy("sig").agg(F.min(one).alias("one"))
-    classes = scratch.write(classes.select("sig", F.col("one.row").alias("cls"), F.col("one.k").alias("k"), F.col("one.th").alias("th")), "classes")
-    reps = sets.join(classes.select(F.col("cls").alias("row")), "row", "left_semi").withColumnRenamed("row", "cls")
-    postings = scratch.write(_postings(reps, num, den, most), "postings")
-
-    # sets of the classes that have candidates at all; one member's text is read again for each
-    lively = postings.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token")
-    wanted = postings.join(lively, "token", "left_semi").select("cls").distinct().join(classes, "cls").select("cls", F.col("k").alias("_k"), F.col("th").alias("_th"))
+    classes = sets.where("n > 0").groupBy("sig").agg(F.min(one).alias("one"), F.first("n").alias("n"))
+    classes = scratch.write(classes.select("sig", "n", F.col("one.row").alias("cls"), F.col("one.k").alias("k"), F.col("one.th").alias("th")), "classes")
+    reps = sets.join(classes.select(F.col("cls").alias("row")).hint("merge"), "row", "left_semi")
+    alone = reps.select(F.col("row").alias("cls"), F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("cls").alias("cls"))
+    alone = alone.where("df = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("own"))
+    least = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1
+    wanted = classes.join(alone.hint("merge"), "cls", "left").where(F.coalesce("own", F.lit(0)) < least).select("cls", F.col("k").alias("_k"), F.col("th").alias("_th"))
+
+    # whole sets of the classes that may have partners; one member's text is read again for each
     source = docs.select(docs[key].alias("k"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("t"))
-    found = source.join(wanted, source["k"].eqNullSafe(wanted["_k"]) & (source["th"] == wanted["_th"])).select("cls", "t")
+    found = source.join(wanted.hint("merge"), source["k"].eqNullSafe(wanted["_k"]) & (source["th"] == wanted["_th"])).select("cls", "t")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lattica.llm.words import hashed_batch
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_of(h, k).tobytes() for h in hashed_batch(b.column(1))], pa.binary())], ["cls", "members"])
-
-    full = scratch.write(found.mapInArrow(whole, "cls long, members binary").dropDuplicates(["cls"]), "full")
-
-    def candidates(met: DataFrame) -> DataFrame:
-        close = F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")
-        pairs = met.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("ma", "mb").alias("m"), "via")
-        return pairs.groupBy("a", "b", "m", "via").count().where("count >= m").select("a", "b").distinct()
-
-    # members of a posting list meet its smallest set, and the one with the least hash
-    at = postings.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"))
-    one = F.struct("cls", "n", "m")
-    mids = postings.groupBy("token").agg(F.array(F.struct(F.lit(0).alias("via"), F.min_by(one, F.struct("n", "cls")).alias("c")), F.struct(F.lit(1).alias("via"), F.min_by(one, F.struct(F.xxhash64("cls"), "cls")).alias("c"))).alias("mids"))
-    mids = mids.select("token", F.inline("mids")).select("token", "via", F.col("c.cls").alias("b"), F.col("c.n").alias("nb"), F.col("c.m").alias("mb"))
-    checked = scratch.write(_verified(candidates(at.join(mids, "token").where("a <> b")), full, num, den), "centres")
-    comp = connected(checked.where("ok").select("a", "b"), scratch)
-
-    # exact rest: all pairs of a posting list whose classes are in different groups
-    p = postings.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    p = scratch.write(p, "grouped")
-    mixed = p.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    x = p.join(mixed, "token", "left_semi").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("comp").alias("ca"))
-    y = x.select("token", *[F.col(c).alias(c.replace("a", "b")) for c in ("a", "na", "ma", "ca")])
-    met = x.join(y, "token").where("a < b and ca <> cb").withColumn("via", F.lit(2))
-    rest = scratch.write(_verified(candidates(met).join(checked, ["a", "b"], "left_anti"), full, num, den), "rest").where("ok").select("a", "b")
-    if not rest.isEmpty():
-        comp = connected(rest.union(comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))), scratch)
+            u = [set_of(h, k) for h in hashed_batch(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in u], pa.int32()), pa.array([x.tobytes() for x in u], pa.binary())], ["cls", "n", "members"])
+
+    full = scratch.write(found.mapInArrow(whole, "cls long, n int, members binary").dropDuplicates(["cls"]), "full")
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+            flat = pa.array(np.concatenate(u) if u else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, u)]), pa.int32()), flat)], ["cls", "n", "tokens"])
+
+    postings = scratch.write(_postings(full.mapInArrow(opened, "cls long, n int, tokens array<long>"), num, den, most), "postings")
+    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("least")).where("size > 1")
+    lists = scratch.write(lists, "lists")
+
+    links = None
+    groups = None
+    if not lists.where(F.col("size") > SHORT).isEmpty():
+        ties = postings.join(lists.where(F.col("size") > SHORT), "token").select(F.col("cls").alias("a"), F.col("least").alias("b"))
+        groups = scratch.write(connected(ties, scratch).select(F.col("node").alias("cls"), F.col("comp").alias("grp")), "groups")
+        links = _grouped(postings, full, groups, num, den, scratch)
+    p = postings.join(lists.where(F.col("size") <= SHORT).select("token"), "token", "left_semi")
+    p = p.join(groups, "cls", "left") if groups is not None else p.withColumn("grp", F.lit(None).cast("long"))
+    x = p.select("token", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "m", "grp")])
+    y = p.select("token", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "m", "grp")])
+    near = F.lit(den) * F.least("n_a", "n_b") >= F.lit(num) * F.greatest("n_a", "n_b")
+    met = x.join(y, "token").where((F.col("cls_a") < F.col("cls_b")) & near & ~F.coalesce(F.col("grp_a") == F.col("grp_b"), F.lit(False)))
+    pairs = met.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), F.least("m_a", "m_b").alias("m")).count().where("count >= m")
+    ok = _verified(pairs, full, num, den).where("ok").select("a", "b")
+    ok = scratch.write(ok, "verified")
+    comp = connected(ok if links is None else ok.union(links), scratch)
 
     labelled = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = labelled.groupBy("comp").agg(F.min("k").alias("component_id"))

@@ -173,10 +173,14 @@ def chain(rng, n, step):
     return out
 
 
-@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80)])
-def test_jaccard_groups(spark, k, num):
+@pytest.mark.parametrize(("k", "num", "short", "block"), [(3, 90, 24, 256), (5, 80, 2, 5)])
+def test_jaccard_groups(spark, monkeypatch, k, num, short, block):
+    """Also with tiny lists and blocks, so that groups are worked on in pairs of blocks."""
+    from lattica.llm import jaccard
     from lattica.llm.jaccard import jaccard_groups
 
+    monkeypatch.setattr(jaccard, "SHORT", short)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = random.Random(k)
     common = prose(rng, 40)
     texts = corpus(2) + chain(rng, 200, 1) + chain(rng, 90, 2) + [common + " " + prose(rng, rng.choice([1, 2, 60])) for _ in range(30)]
@@ -193,8 +197,8 @@ def test_jaccard_edges(spark):
     assert got == sorted([(None, 2, 7), (None, 2, 7), (7, 2, 7), (7, 1, 7), (3, 0, 3)], key=repr)
     assert jaccard_groups(df.limit(0)).count() == 0
     assert need(10, 90, 100) == 9 and need(11, 90, 100) == 10
-    assert choose_prefix(100, 30, [], [], 90, 100, 4) == (1, 11)
-    m, length = choose_prefix(100, 30, [1000] * 11 + [2] * 3, list(range(14)), 90, 100, 4)
+    assert choose_prefix(100, [], [], 90, 100, 4) == (1, 11)
+    m, length = choose_prefix(100, [1000] * 11 + [2] * 3, list(range(14)), 90, 100, 4)
     assert m > 1 and length == 10 + m
 
 
