@@ -53,7 +53,9 @@ class TableMap:
 
     def rows(self) -> DataFrame:
         k = self.key()
-        return self.frame.where(k.isNotNull() & (k.cast("string") != ""))
+        kind = self.frame.select(k).schema[0].dataType
+        good = k.isNotNull() & (k != "") if isinstance(kind, T.StringType) else k.isNotNull()
+        return self.frame.where(good)
 
     def triples(self) -> DataFrame:
         """s, p, o of every cell."""

@@ -12,14 +12,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions import values as V
 from lattica.functions.builtins import LOG, RESULTS, TESTS, is_builtin
 from lattica.functions.expressions import Expressions
 from lattica.functions.values import Val
 from lattica.plans.compiler import Compiler, Dataset, Sol, fresh
 from lattica.plans.parser import Parser, is_var
 from lattica.storage import Tables
-from lattica.terms import OWL, RDF, RDFS, TRIPLES, Term, iri
+from lattica.terms import OWL, RDF, RDF_TYPE, RDFS, TRIPLES, Term, iri
 
 
 class RuleError(ValueError):
@@ -126,10 +125,19 @@ def strata(rules: list[Rule]) -> list[list[Rule]]:
     """Rules in an order in which negation only asks for finished predicates."""
 
     def preds(atoms):
-        return {p.v if isinstance(p, Term) else None for _, p, _ in atoms if not (isinstance(p, Term) and is_builtin(p.v))}
+        """(predicate, class of a type statement) of each atom; None stands for any."""
+        out = set()
+        for _, p, o in atoms:
+            if isinstance(p, Term) and is_builtin(p.v):
+                continue
+            out.add((p.v if isinstance(p, Term) else None, o.v if isinstance(p, Term) and p.v == RDF_TYPE and isinstance(o, Term) else None))
+        return out
+
+    def meets(a, b):
+        same = lambda x, y: x is None or y is None or x == y
+        return any(same(x[0], y[0]) and same(x[1], y[1]) for x in a for y in b)
 
     level = {id(r): 0 for r in rules}
-    meets = lambda a, b: bool(a & b) or None in a or None in b
     for _ in range(len(rules) + 1):
         changed = False
         for r in rules:
@@ -307,5 +315,3 @@ def entails(g: DataFrame, conclusion: list, regime: str = "simple") -> bool:
     sol = Compiler(Dataset(g.sparkSession, quads=closed)).bgp(atoms, None)
     return not sol.df.isEmpty()
 
-
-V_ = V

@@ -411,6 +411,15 @@ class Compiler:
             return self.existence(sol, body, not negated, graph)
         if e[0] == "exists":
             return self.existence(sol, e[1], e[2], graph)
+        if e[0] == "op" and e[1] in ("<", ">", "<=", ">="):
+            # in a filter an error is as good as false: plain comparisons reach the scan
+            x, y = (self.expressions(sol).value(a) for a in e[2])
+            if x.kind == y.kind == "lit" and x.dt in NUMERIC and y.dt in NUMERIC:
+                df = sol.df.where({"<": x.col < y.col, ">": x.col > y.col, "<=": x.col <= y.col, ">=": x.col >= y.col}[e[1]])
+                for v, a in ((x, e[2][0]), (y, e[2][1])):
+                    if v.dt != "integer" and a[0] != "term":
+                        df = df.where(~F.isnan(v.col))
+                return Sol(df, sol.vals, sol.sure)
         sol, marks = self.marked(sol, e, graph)
         return Sol(sol.df.where(self.expressions(sol, marks).truth(e)), sol.vals, sol.sure)
 

@@ -289,3 +289,137 @@ def v06(spark, folder):
     UNION ALL SELECT 'class', o[2:-2], count(*), count(DISTINCT s) FROM t WHERE p = '{_RDF_TYPE}' GROUP BY o""")
 def v07(spark, folder):
     return G.void_statistics(triples_of(spark, folder, "nation"))
+
+
+@query("b01_ntriples_round_trip", _NATION_TRIPLES)
+def b01(spark, folder):
+    from lattica.sources.text import _statements, ntriples_lines
+
+    return _text(_statements(ntriples_lines(triples_of(spark, folder, "nation"))))
+
+
+@query("b12_patch", _REGION_TRIPLES)
+def b12(spark, folder):
+    from lattica.sources.text import apply_patch, patch_lines
+
+    before, after = triples_of(spark, folder, "nation"), triples_of(spark, folder, "region")
+    return _text(apply_patch(before, patch_lines(before, after)))
+
+
+@query("f38_text_index", f"""SELECT DISTINCT '{E}documents/' || doc_id AS d FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[\\s!-/:-@\\[-`{{-~]+') AS t FROM documents)
+    WHERE list_contains(t, 'license') AND len(list_filter(t, lambda x: starts_with(x, 'ver'))) > 0""")
+def f38(spark, folder):
+    from lattica.operators.textsearch import build_index, search
+
+    index = build_index(triples_of(spark, folder, "documents"), [f"{E}v#text"])
+    return search(index, "license ver*").select(F.col("s.v").alias("d"))
+
+
+_ORDER_ROWS = f"""'{E}orders/' || o_orderkey"""
+
+
+@query("i10_datalog_closure", f"""SELECT DISTINCT '{E}' || a AS a, '{E}' || b AS b FROM (
+    SELECT 'customer/' || c_custkey AS a, 'nation/' || c_nationkey AS b FROM customer
+    UNION SELECT 'nation/' || n_nationkey, 'region/' || n_regionkey FROM nation
+    UNION SELECT 'customer/' || c_custkey, 'region/' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey)""")
+def i10(spark, folder):
+    from lattica.operators.rules import reason
+
+    g = triples_of(spark, folder, "customer", "nation")
+    rules = """@prefix v: <http://ex.org/v#> .
+        { ?x v:c_nationkey ?y } => { ?x v:within ?y } . { ?x v:n_regionkey ?y } => { ?x v:within ?y } .
+        { ?x v:within ?y . ?y v:within ?z } => { ?x v:within ?z } ."""
+    return reason(g, rules).where(f"p = '{E}v#within'").select(F.col("s.v").alias("a"), F.col("o.v").alias("b"))
+
+
+@query("i11_negation", f"SELECT '{E}customer/' || c_custkey AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def i11(spark, folder):
+    from lattica.operators.rules import reason
+
+    g = triples_of(spark, folder, "customer", "orders").where(F.col("p").isin(f"{E}v#o_custkey", f"{E}v#c_name"))
+    rules = """@prefix v: <http://ex.org/v#> . @prefix e: <http://ex.org/> .
+        { ?o v:o_custkey ?c } => { ?c a e:Buyer } . { ?c v:c_name ?n . not { ?c a e:Buyer } } => { ?c a e:Idle } ."""
+    return reason(g, rules).where(F.col("o.v") == f"{E}Idle").select(F.col("s.v").alias("c"))
+
+
+@query("i14_n3_builtins", f"SELECT '{E}customer/' || c_custkey AS c, c_acctbal * 2 AS twice FROM customer WHERE c_acctbal > 9000")
+def i14(spark, folder):
+    from lattica.functions.values import Val, number
+    from lattica.operators.rules import reason
+
+    g = triples_of(spark, folder, "customer").where(f"p = '{E}v#c_acctbal'")
+    rules = """@prefix v: <http://ex.org/v#> . @prefix math: <http://www.w3.org/2000/10/swap/math#> .
+        { ?c v:c_acctbal ?b . ?b math:greaterThan 9000 . (?b 2) math:product ?t } => { ?c v:twice ?t } ."""
+    out = reason(g, rules).where(f"p = '{E}v#twice'")
+    return out.select(F.col("s.v").alias("c"), number(Val("any", F.col("o"))).alias("twice"))
+
+
+@query("i02_rdfs_closure", f"SELECT '{E}nation/' || n_nationkey AS x, c FROM nation CROSS JOIN (VALUES ('{E}v#Nation'), ('{E}Place'), ('{E}Thing')) t(c)")
+def i02(spark, folder):
+    from lattica.operators.rules import rdfs_closure
+    from lattica.terms import RDF_TYPE, RDFS
+
+    g = G.match(triples_of(spark, folder, "nation"), p=RDF_TYPE)
+    schema = G.from_triples(spark, [(iri(f"{E}v#Nation"), RDFS + "subClassOf", iri(f"{E}Place")), (iri(f"{E}Place"), RDFS + "subClassOf", iri(f"{E}Thing"))])
+    return rdfs_closure(G.union(g, schema)).where(f"p = '{RDF_TYPE}'").select(F.col("s.v").alias("x"), F.col("o.v").alias("c"))
+
+
+_SHAPES = """@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix v: <http://ex.org/v#> . @prefix e: <http://ex.org/> .
+    e:S a sh:NodeShape ; sh:targetClass v:Customer ; """
+
+
+def _violations(spark, folder, shape: str, *names: str) -> DataFrame:
+    from lattica.operators.shacl import validate
+
+    report = validate(triples_of(spark, folder, *names), _SHAPES + shape)
+    return report.select("focus", "component")
+
+
+@query("i22_shacl_mincount", f"SELECT '<{E}customer/' || c_custkey || '>' AS focus, 'MinCountConstraintComponent' AS component FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def i22(spark, folder):
+    return _violations(spark, folder, "sh:property [ sh:path [ sh:inversePath v:o_custkey ] ; sh:minCount 1 ] .", "customer", "orders")
+
+
+@query("i23_shacl_range", f"""SELECT '<{E}customer/' || c_custkey || '>' AS focus, 'MinInclusiveConstraintComponent' AS component FROM customer WHERE c_acctbal < 0
+    UNION ALL SELECT '<{E}customer/' || c_custkey || '>', 'InConstraintComponent' FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'FURNITURE')""")
+def i23(spark, folder):
+    return _violations(spark, folder, "sh:property [ sh:path v:c_acctbal ; sh:minInclusive 0 ] ; sh:property [ sh:path v:c_mktsegment ; sh:in ('BUILDING' 'MACHINERY' 'FURNITURE') ] .", "customer")
+
+
+@query("i25_shacl_or", f"SELECT '<{E}customer/' || c_custkey || '>' AS focus, 'OrConstraintComponent' AS component FROM customer WHERE NOT (c_acctbal >= 5000 OR c_mktsegment = 'BUILDING')")
+def i25(spark, folder):
+    return _violations(spark, folder, "sh:or ( [ sh:property [ sh:path v:c_acctbal ; sh:minInclusive 5000 ] ] [ sh:property [ sh:path v:c_mktsegment ; sh:hasValue 'BUILDING' ] ] ) .", "customer")
+
+
+def _updated(spark, folder, text: str, *names: str) -> DataFrame:
+    from lattica.operators.update import State
+
+    state = State.of(spark, triples_of(spark, folder, *names)).update(text, {"v": "http://ex.org/v#", "e": E})
+    return _text(state.quads.where("g is null")) if "GRAPH" not in text else state.quads.where("g is not null").select(n3_col(F.col("s")).alias("s"), "g")
+
+
+@query("u01_insert_data", f"SELECT * FROM ({_REGION_TRIPLES}) UNION SELECT '<{E}region/9>', '<{E}v#r_name>', '\"NEW\"'")
+def u01(spark, folder):
+    return _updated(spark, folder, "INSERT DATA { e:region\\/9 v:r_name 'NEW' }", "region")
+
+
+@query("u03_modify", f"""SELECT s, p, CASE WHEN p = '<{E}v#r_name>' THEN '"' || lower(o[2:-2]) || '"' ELSE o END AS o FROM ({_REGION_TRIPLES})""")
+def u03(spark, folder):
+    return _updated(spark, folder, "DELETE { ?r v:r_name ?n } INSERT { ?r v:r_name ?m } WHERE { ?r v:r_name ?n BIND(LCASE(?n) AS ?m) }", "region")
+
+
+@query("u03_delete_where", f"SELECT * FROM ({_REGION_TRIPLES}) WHERE p <> '<{E}v#r_name>'")
+def u03_delete(spark, folder):
+    return _updated(spark, folder, "DELETE WHERE { ?r v:r_name ?n }", "region")
+
+
+@query("u07_copy", f"SELECT s, '{E}copy' AS g FROM ({_REGION_TRIPLES})")
+def u07(spark, folder):
+    return _updated(spark, folder, "COPY DEFAULT TO GRAPH <http://ex.org/copy>", "region")
+
+
+@query("ext_windowed_events", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def ext_window(spark, folder):
+    from lattica.streaming.events import windowed
+
+    return windowed(spark.read.parquet(f"{folder}/events.parquet")).withColumn("total", F.round("total", 4))
