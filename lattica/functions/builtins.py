@@ -27,7 +27,7 @@ def register_builtin(uri: str, build: Callable, test: bool = False) -> None:
 
 
 def is_builtin(uri: str) -> bool:
-    return uri in TESTS or uri in RESULTS
+    return uri in TESTS or uri in RESULTS or uri in (LIST + "member", LIST + "in")
 
 
 def _s(v: Val) -> Column:

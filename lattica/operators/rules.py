@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.builtins import LOG, RESULTS, TESTS, is_builtin
+from lattica.functions.builtins import LIST, LOG, RESULTS, TESTS, is_builtin
 from lattica.functions.expressions import Expressions
 from lattica.functions.values import Val
 from lattica.plans.compiler import Compiler, Dataset, Sol, fresh
@@ -37,8 +37,10 @@ class Rule:
         out = set()
         for s, p, o in self.body:
             if isinstance(p, Term) and is_builtin(p.v):
-                if p.v in RESULTS and is_var(o):
+                if (p.v in RESULTS or p.v == LIST + "member") and is_var(o):
                     out.add(o[1])
+                elif p.v == LIST + "in" and is_var(s):
+                    out.add(s[1])
             else:
                 out |= {x[1] for x in (s, p, o) if is_var(x)}
         return out
@@ -194,6 +196,8 @@ class _Engine:
         def value(x) -> Val:
             return ex.value(x if is_var(x) else ("term", x))
 
+        if p in (LIST + "member", LIST + "in"):
+            return self.members(sol, *((s, o) if p == LIST + "member" else (o, s)), value)
         args = [value(x) for x in s[1]] if isinstance(s, tuple) and s and s[0] == "list" else [value(s)]
         if p in TESTS:
             return Sol(sol.df.where(TESTS[p](args[0], value(o))), sol.vals, sol.sure)
@@ -206,6 +210,21 @@ class _Engine:
 
         return Sol(sol.df.where(equals(made, value(o))), sol.vals, sol.sure)
 
+    def members(self, sol: Sol, items, x, value) -> Sol:
+        """``items list:member x``: a row for each member, or a test where ``x`` is bound."""
+        from lattica.functions.expressions import equals
+        from lattica.functions.values import unified
+
+        found = unified([value(y) for y in items[1]])
+        if is_var(x) and x[1] not in sol.vals:
+            c = fresh()
+            df = sol.df.withColumn(c, F.explode(F.array(*[v.col for v in found])))
+            return Sol(df, sol.vals | {x[1]: found[0].at(F.col(c))}, sol.sure | {x[1]})
+        some = F.lit(False)
+        for v in found:
+            some = some | F.coalesce(equals(v, value(x)), F.lit(False))
+        return Sol(sol.df.where(some), sol.vals, sol.sure)
+
     def heads(self, rule: Rule, sol: Sol) -> DataFrame:
         return self.compiler(self.spark.createDataFrame([], TRIPLES)).instantiate(sol, [(*t, None) for t in rule.head]).select("s", "p", "o")
 

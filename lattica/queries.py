@@ -423,3 +423,123 @@ def ext_window(spark, folder):
     from lattica.streaming.events import windowed
 
     return windowed(spark.read.parquet(f"{folder}/events.parquet")).withColumn("total", F.round("total", 4))
+
+
+# -- datasets, triple terms, services, builder ------------------------------------------------------------
+def _quads(spark, folder) -> Dataset:
+    """Nations and regions as two named graphs of one quad table."""
+    n = triples_of(spark, folder, "nation").withColumn("g", F.lit(f"{E}graph/nation"))
+    r = triples_of(spark, folder, "region").withColumn("g", F.lit(f"{E}graph/region"))
+    return Dataset(spark, quads=n.unionByName(r), prefixes={"v": "http://ex.org/v#", "e": E})
+
+
+def quad_query(name: str, text: str, sql: str) -> None:
+    QUERIES[name] = lambda spark, folder: _quads(spark, folder).query(text).df
+    SQL[name] = sql
+
+
+quad_query("a20_dataset_graphs", "SELECT DISTINCT ?g WHERE { GRAPH ?g { ?s ?p ?o } }", f"SELECT '{E}graph/nation' AS g UNION ALL SELECT '{E}graph/region'")
+quad_query("q18_from", f"SELECT ?n FROM <{E}graph/nation> WHERE {{ ?s v:n_name ?n }}", "SELECT n_name AS n FROM nation")
+quad_query("q18_from_named", f"SELECT ?g (COUNT(*) AS ?n) FROM NAMED <{E}graph/region> WHERE {{ GRAPH ?g {{ ?s ?p ?o }} }} GROUP BY ?g", f"SELECT '{E}graph/region' AS g, count(*) * 2 AS n FROM region")
+quad_query("j12_quads_join", "SELECT ?n ?rn WHERE { GRAPH ?g { ?x v:n_name ?n ; v:n_regionkey ?r } GRAPH ?h { ?r v:r_name ?rn } FILTER(?g != ?h) }", "SELECT n_name AS n, r_name AS rn FROM nation JOIN region ON n_regionkey = r_regionkey")
+quad_query("x04_generic_equality", "SELECT ?n WHERE { GRAPH ?g { ?x v:n_name ?n } FILTER(?n = 'CHINA' || ?n = 'PERU') }", "SELECT n_name AS n FROM nation WHERE n_name IN ('CHINA', 'PERU')")
+quad_query("s01_generic_order", f"SELECT ?o WHERE {{ GRAPH <{E}graph/nation> {{ ?s ?p ?o }} }} ORDER BY DESC(?o) LIMIT 3", "SELECT n_name AS o FROM nation ORDER BY n_name DESC LIMIT 3")
+quad_query("g11_generic_min", f"SELECT (MIN(?o) AS ?lo) (MAX(?o) AS ?hi) WHERE {{ GRAPH <{E}graph/nation> {{ ?s v:n_name ?o }} }}", "SELECT min(n_name) AS lo, max(n_name) AS hi FROM nation")
+sparql("f20_triple_terms", "SELECT ?n (STR(SUBJECT(TRIPLE(?r, v:r_name, ?n))) AS ?s) (ISTRIPLE(TRIPLE(?r, v:r_name, ?n)) AS ?t) (OBJECT(TRIPLE(?r, v:r_name, ?n)) = ?n AS ?same) WHERE { ?r v:r_name ?n }",
+       f"SELECT r_name AS n, '{E}region/' || r_regionkey AS s, true AS t, true AS same FROM region")
+sparql("f11_iri", "SELECT (STR(IRI(CONCAT('http://d.org/', ?n))) AS ?x) WHERE { ?r v:r_name ?n }", "SELECT 'http://d.org/' || r_name AS x FROM region")
+sparql("f12_bnode", "SELECT ?n (ISBLANK(BNODE(?n)) AS ?b) WHERE { ?r v:r_name ?n }", "SELECT r_name AS n, true AS b FROM region")
+sparql("f14_directions", "SELECT ?n (LANGDIR(STRLANGDIR(?n, 'ar', 'rtl')) AS ?d) (HASLANG(STRLANG(?n, 'ar')) AS ?h) WHERE { ?r v:r_name ?n }", "SELECT r_name AS n, 'rtl' AS d, true AS h FROM region")
+sparql("f24_random", "SELECT ?n (RAND() < 1 AS ?a) (STRLEN(STRUUID()) AS ?b) (ISIRI(UUID()) AS ?c) WHERE { ?r v:r_name ?n }", "SELECT r_name AS n, true AS a, 36::BIGINT AS b, true AS c FROM region")
+sparql("f27_timezone", "SELECT ?o (TZ(?d) AS ?z) WHERE { ?o v:o_orderdate ?d }", f"SELECT '{E}orders/' || o_orderkey AS o, 'Z' AS z FROM orders")
+sparql("x02_not", "SELECT ?n WHERE { ?c v:c_name ?n ; v:c_acctbal ?b FILTER(!(?b < 5000)) }", "SELECT c_name AS n FROM customer WHERE NOT c_acctbal < 5000")
+sparql("x09_unary", "SELECT ?n (-?b AS ?m) (+?b AS ?p) WHERE { ?c v:c_name ?n ; v:c_acctbal ?b }", "SELECT c_name AS n, -c_acctbal AS m, c_acctbal AS p FROM customer")
+sparql("x06_typed_cast_compare", "SELECT (COUNT(*) AS ?n) WHERE { ?e v:ts ?d FILTER(xsd:date(?d) >= '2024-01-01'^^xsd:date) }", "SELECT count(*) AS n FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-01'")
+sparql("j02_compatible_join", "SELECT ?n ?m ?b WHERE { { ?c v:c_name ?n ; v:c_mktsegment ?m } { ?c v:c_acctbal ?b FILTER(?b > 9500) } }", "SELECT c_name AS n, c_mktsegment AS m, c_acctbal AS b FROM customer WHERE c_acctbal > 9500")
+sparql("p01_predicate", "SELECT ?s ?o WHERE { ?s (v:n_regionkey) ?o }", f"SELECT '{E}nation/' || n_nationkey AS s, '{E}region/' || n_regionkey AS o FROM nation")
+sparql("p09_bound_ends", f"ASK {{ <{E}nation/3> v:n_regionkey+ ?r . ?r v:r_name ?n }}", "SELECT true AS result")
+sparql("ge05_equals", "SELECT (geof:sfEquals('POINT(1 2)'^^geo:wktLiteral, 'POINT(1 2)'^^geo:wktLiteral) AS ?a) (geof:sfDisjoint('POINT(1 2)'^^geo:wktLiteral, 'POINT(3 4)'^^geo:wktLiteral) AS ?b) WHERE { ?r v:r_name ?n }", "SELECT true AS a, true AS b FROM region")
+sparql("ge10_envelope", "SELECT ?n (STR(geof:envelope('LINESTRING(0 0, 2 3)'^^geo:wktLiteral)) AS ?e) WHERE { ?r v:r_name ?n }", "SELECT r_name AS n, 'POLYGON((0 0, 2 0, 2 3, 0 3, 0 0))' AS e FROM region")
+
+
+@query("q19_service", "SELECT n_name AS n, n_nationkey::BIGINT AS k FROM nation")
+def q19(spark, folder):
+    data = graph(spark, folder)
+    data.services["http://elsewhere.org/sparql"] = lambda text: spark.read.parquet(f"{folder}/nation.parquet").select(F.col("n_name").alias("n"), F.col("n_nationkey").cast("bigint").alias("k"))
+    return data.query("SELECT ?n ?k WHERE { ?x v:n_name ?n SERVICE <http://elsewhere.org/sparql> { ?y ?p ?n } }").df
+
+
+@query("q26_builder", "SELECT c_name AS n, c_acctbal AS b FROM customer WHERE c_acctbal > 9000 ORDER BY b DESC, n LIMIT 5")
+def q26(spark, folder):
+    from lattica.plans.builder import select
+
+    return select("?n", "?b").where("?c v:c_name ?n", "?c v:c_acctbal ?b").filter("?b > 9000").order_by("DESC(?b)", "?n").limit(5).run(graph(spark, folder)).df
+
+
+@query("v01_merge", f"SELECT * FROM ({_NATION_TRIPLES}) UNION SELECT * FROM ({_REGION_TRIPLES})")
+def v01(spark, folder):
+    return _text(G.merge_graphs(triples_of(spark, folder, "nation"), triples_of(spark, folder, "region")))
+
+
+@query("v04_description", f"SELECT * FROM ({_REGION_TRIPLES}) WHERE s = '<{E}region/1>'")
+def v04(spark, folder):
+    from lattica.terms import TERM, term_col
+
+    g = triples_of(spark, folder, "region")
+    start = spark.createDataFrame([(f"{E}region/1",)], "v string").select(term_col(1, F.col("v")).cast(TERM).alias("s"))
+    return _text(G.bounded_description(g, start))
+
+
+@query("v08_isomorphic", "SELECT true AS same, false AS other")
+def v08(spark, folder):
+    g, h = triples_of(spark, folder, "nation"), triples_of(spark, folder, "region")
+    return spark.createDataFrame([(G.isomorphic(g, g.orderBy("p")), G.isomorphic(g, h))], "same boolean, other boolean")
+
+
+@query("a06_add_remove", f"SELECT * FROM ({_REGION_TRIPLES}) WHERE p <> '{_RDF_TYPE}'")
+def a06(spark, folder):
+    g = triples_of(spark, folder, "region")
+    from lattica.terms import RDF_TYPE
+
+    return _text(G.difference(g, G.match(g, p=RDF_TYPE)))
+
+
+@query("i24_shacl_pair", f"SELECT '<{E}customer/' || c_custkey || '>' AS focus, 'DatatypeConstraintComponent' AS component FROM customer")
+def i24(spark, folder):
+    return _violations(spark, folder, "sh:property [ sh:path v:c_name ; sh:datatype <http://www.w3.org/2001/XMLSchema#integer> ] .", "customer")
+
+
+@query("t05_ottr", f"SELECT '{E}nation/' || n_nationkey AS s, n_name AS o FROM nation")
+def t05(spark, folder):
+    from lattica.operators.ottr import ottr_map, parse_ottr
+
+    text = "@prefix e: <http://ex.org/> . @prefix ottr: <http://ns.ottr.xyz/0.4/> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> . e:N[ ottr:IRI ?id, xsd:string ?n_name ] :: { ottr:Triple(?id, e:name, ?n_name) } ."
+    frame = spark.read.parquet(f"{folder}/nation.parquet").withColumn("id", F.concat(F.lit(f"{E}nation/"), F.col("n_nationkey").cast("string")))
+    return ottr_map(frame, parse_ottr(text), f"{E}N").select(F.col("s.v").alias("s"), F.col("o.v").alias("o"))
+
+
+@query("b10_hextuples_round_trip", _REGION_TRIPLES)
+def b10(spark, folder):
+    from lattica.sources.text import read_hextuples, write_hextuples
+    from lattica.storage import Tables
+
+    path = Tables(spark, "hext").path
+    write_hextuples(triples_of(spark, folder, "region"), path)
+    return _text(read_hextuples(spark, path).drop("g"))
+
+
+@query("b14_columnar_round_trip", f"SELECT * FROM ({_NATION_TRIPLES}) WHERE p = '<{E}v#n_name>'")
+def b14(spark, folder):
+    from lattica.sources.text import read_triples_table, write_triples_table
+    from lattica.storage import Tables
+
+    path = Tables(spark, "triples").path
+    write_triples_table(triples_of(spark, folder, "nation"), path)
+    return _text(G.match(read_triples_table(spark, path).select("s", "p", "o"), p=f"{E}v#n_name"))
+
+
+@query("b16_result_json", "SELECT '{\"n\":{\"type\":\"literal\",\"value\":\"' || r_name || '\"}}' AS value FROM region")
+def b16(spark, folder):
+    from lattica.sources.results import json_rows
+
+    return json_rows(graph(spark, folder).query("SELECT ?n WHERE { ?r v:r_name ?n }").terms())

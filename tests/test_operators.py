@@ -221,3 +221,41 @@ def test_containers(spark):
     assert sorted((r.position, r["item"].v) for r in G.container_items(g, iri("http://b")).collect()) == [(1, "x"), (2, "y")]
     head, rows = G.list_triples([literal(1), literal(2)])
     assert len(rows) == 4 and isinstance(head, Term)
+
+
+def test_service_and_stores(spark):
+    import threading
+    import urllib.request
+
+    from lattica.operators.stores import AuditedStore, RemoteStore
+    from lattica.operators.update import State
+    from lattica.server import negotiate, serve
+
+    server = serve(State.of(spark, turtle(spark, ":a :p 1 ; :q :b .")), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_address[1]}"
+    store = RemoteStore(spark, at + "/sparql")
+    assert names(store.triples(p=EX + "p")) == {("a", "p", "1")}
+    urllib.request.urlopen(urllib.request.Request(at + "/update", f"INSERT DATA {{ <{EX}c> <{EX}p> 2 }}".encode(), {"Content-Type": "application/sparql-update"}))
+    assert {s for s, _, _ in names(store.triples(p=EX + "p"))} == {"a", "c"}
+    assert b"@prefix" in urllib.request.urlopen(at + "/data?default").read()
+    with pytest.raises(urllib.error.HTTPError):
+        urllib.request.urlopen(at + "/sparql?query=nonsense")
+    server.shutdown()
+    assert negotiate("text/csv;q=0.5, application/sparql-results+xml", ["text/csv", "application/sparql-results+xml"]) == "application/sparql-results+xml"
+    audit = AuditedStore(State.of(spark, turtle(spark, ":a :p 1 ."))).update(f"DELETE DATA {{ <{EX}a> <{EX}p> 1 }}").update(f"INSERT DATA {{ <{EX}b> <{EX}p> 1 }}")
+    assert {(r.change, r.s.v) for r in audit.changes().collect()} == {("remove", EX + "a"), ("add", EX + "b")}
+    assert audit.undo().undo().state.quads.count() == 1
+
+
+def test_csv_and_dot(spark, tmp_path):
+    from lattica.cli import convert, csv_to_triples
+    from lattica.sources.dot import schema_dot, to_dot
+
+    (tmp_path / "x.csv").write_text("id,name,age\n1,A B,5\n2,,6\n")
+    got = csv_to_triples(spark, str(tmp_path / "x.csv"), "id", EX)
+    assert names(got) == {("1", "id", "1"), ("1", "name", "A B"), ("1", "age", "5"), ("2", "id", "2"), ("2", "age", "6")}
+    (tmp_path / "x.ttl").write_text(f"@prefix : <{EX}> . :a :p :b .")
+    assert convert(spark, str(tmp_path / "x.ttl"), "ntriples") == f"<{EX}a> <{EX}p> <{EX}b> .\n"
+    quads = D.parse_turtle(f"@prefix : <{EX}> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . :A rdfs:subClassOf :B . :p rdfs:domain :A ; rdfs:range :B .")
+    assert to_dot(quads).count("->") == 3 and schema_dot(quads).count("->") == 2

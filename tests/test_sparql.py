@@ -132,5 +132,6 @@ def test_filter_reaches_scan(spark):
     from lattica.operators.mapping import star_schema
 
     d = Dataset(spark, star_schema(spark, "/root/testdata/sf0.001"), prefixes={"v": "http://ex.org/v#"})
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = d.query("SELECT ?p { ?o v:o_totalprice ?p ; v:o_orderstatus 'F' FILTER(?p > 1000) }").df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(o_totalprice,1000" in plan and "EqualTo(o_orderstatus,F)" in plan and "o_orderdate" not in plan and "Exchange" not in plan
