@@ -37,8 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = _columns(docs)
     groups = jaccard_groups(docs, k=5, num=80, den=100)
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
-    return _columns(out)
+    out = docs.join(stay.hint("merge"), docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
+    # a row that is stored twice is one document
+    return _columns(out.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -434,6 +434,14 @@ def test_mixing(spark):
 
 
 # -- the pipeline -----------------------------------------------------------------------
+def test_pipeline_repeated_rows(spark):
+    import corpus_pipeline as C
+
+    text = "one two three four five six seven"
+    df = spark.createDataFrame([(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text, "en", "s", 1), (3, None, None, None, None)], SCHEMA)
+    assert sorted((r.doc_id, r.text) for r in C.near_duplicates(spark, df, "").collect()) == [(1, text), (3, None)]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as C
 
