@@ -95,10 +95,20 @@ def table_map(frame: DataFrame, name: str, key: list[str], links: dict[str, str]
     return TableMap(name, frame, make, entity.format(name), f"{vocabulary}{name.capitalize()}", {vocabulary + c: (c, entity.format(links[c]) if c in links else "") for c in own}, {vocabulary + c: "iri" for c in iri_columns})
 
 
+#: Schemas by path: a table's footers are read once, not for every query.
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def star_schema(spark: SparkSession, folder: str, names: list[str] | None = None) -> list[TableMap]:
     """The test tables as one graph."""
     out = []
     for name in names or STAR:
         key, links = STAR[name]
-        out.append(table_map(spark.read.parquet(f"{folder}/{name}.parquet"), name, key, links, iri_columns=("url",) if name == "pages" else ()))
+        out.append(table_map(read_table(spark, f"{folder}/{name}.parquet"), name, key, links, iri_columns=("url",) if name == "pages" else ()))
     return out
