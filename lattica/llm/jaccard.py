@@ -226,17 +226,20 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, m
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "jaccard")
-    # a prefix takes a share (1 - t) of a set; twice that is looked at for shingles that nobody else has
-    fraction = min(1.0, 2 * (den - num) / den)
+    # a prefix takes a share (1 - t) of a set; rather more is looked at for shingles that nobody else has
+    fraction = min(1.0, 1.6 * (den - num) / den)
     sets = scratch.write(_sets(docs, k, fraction, text, key), "sets")
+    rows = scratch.write(sets.drop("tokens"), "rows")
     one = F.struct(F.col("k").isNull().alias("no"), "k", "th", "row")
-    classes = sets.where("n > 0").groupBy("sig").agg(F.min(one).alias("one"), F.first("n").alias("n"))
+    classes = rows.where("n > 0").groupBy("sig").agg(F.min(one).alias("one"), F.first("n").alias("n"))
     classes = scratch.write(classes.select("sig", "n", F.col("one.row").alias("cls"), F.col("one.k").alias("k"), F.col("one.th").alias("th")), "classes")
     reps = sets.join(classes.select(F.col("cls").alias("row")).hint("merge"), "row", "left_semi")
     alone = reps.select(F.col("row").alias("cls"), F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("cls").alias("cls"))
     alone = alone.where("df = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("own"))
     least = F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1
     wanted = classes.join(alone.hint("merge"), "cls", "left").where(F.coalesce("own", F.lit(0)) < least).select("cls", F.col("k").alias("_k"), F.col("th").alias("_th"))
+    wanted = scratch.write(wanted, "wanted")
+    scratch.drop(sets)
 
     # whole sets of the classes that may have partners; one member's text is read again for each
     source = docs.select(docs[key].alias("k"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("t"))
@@ -281,5 +284,5 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, m
     labelled = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = labelled.groupBy("comp").agg(F.min("k").alias("component_id"))
     of_class = scratch.write(labelled.join(least, "comp").select("sig", "component_id"), "components")
-    out = sets.select("k", "row", "n", "sig").join(of_class, "sig", "left")
+    out = rows.select("k", "row", "n", "sig").join(of_class, "sig", "left")
     return out.select(F.col("k").alias(key), "row", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k")).alias("component_id"))
