@@ -141,6 +141,27 @@ def test_quality_rules(spark):
     assert Q.judge_quality(df.limit(0)).count() == 0
 
 
+def test_quality_rejects_by_each_statistic(spark):
+    """Each statistic alone rejects a text that the base rules pass; one repeated line rejects none."""
+    from lattica.llm.quality import judge_quality
+
+    rng = random.Random(4)
+    fresh = lambda n, w=5: [f"{rng.randrange(10**9):x}".ljust(w, "q")[:w] for _ in range(n)]
+    lines = lambda n, w=5: [" ".join(fresh(10, w)) for _ in range(n)]
+    clean = [lines(rng.randint(4, 40)) for _ in range(150)]
+    once = [(x := lines(n)) + [x[0]] for n in (6, 12, 30)]
+    long_words, symbols = lines(30, 9), [x.replace("0", "#").replace("1", "$") + " ##" for x in lines(30)]
+    dup_lines = [y for x in lines(20) for y in (x, "see above")]
+    block = fresh(58)
+    repeats = [" ".join([*fresh(140), *block, *fresh(7), *block, *fresh(137)])]
+    texts = ["\n".join(x) for x in [*clean, *once, long_words, symbols, dup_lines, repeats]]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in judge_quality(df).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert (got[155].n_dup_lines, got[155].n_repeat_words, got[156].n_dup_lines, got[156].n_repeat_words) == (19, 0, 0, 116)
+    assert [i for i in got if not got[i].kept] == [153, 154, 155, 156]
+
+
 # -- 4 --------------------------------------------------------------------------------
 def brute_groups(texts, ids, k, num, den):
     sets = []
