@@ -29,6 +29,8 @@ TITLES = {"Mr": "m", "Sir": "m", "Herr": "m", "Señor": "m", "Sr": "m", "Monsieu
 #: Word parts from which names are made, and endings by gender.
 SYLLABLES = ("ba", "del", "fi", "gor", "ha", "ki", "lem", "mo", "nar", "pe", "ro", "sa", "tul", "ve", "wi", "zan")
 ENDINGS = {"m": ("o", "us", "er", "on"), "f": ("a", "ia", "ine", "elle"), "n": ("is", "en", "al", "or")}
+#: Attempts in an entity's own form before longer surrogates are drawn.
+SAME_FORM = 32
 
 PATTERNS = {
     "email": r"(?<![\w.+%-])[\w.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -123,12 +125,25 @@ def _same_form(value: str, stream: Iterator[int], hexa: bool = False) -> str:
 
 
 def surrogate(secret: bytes, kind: str, entity: str, gender: str, attempt: int) -> str:
-    """The replacement of a canonical entity, in canonical form."""
+    """The replacement of a canonical entity, in canonical form.
+
+    The space of surrogates grows with the attempt, so that there is a free one for every entity: names get a
+    syllable or letter more each time, e-mail domains a wider number, IP addresses a second reserved range.  What keeps
+    an entity's form is drawn ``SAME_FORM`` times in it (once, if it has no letter or digit), then with
+    a digit more each time; IP addresses then come from IPv6's range for documentation.
+    """
     s = _stream(secret, kind, entity, gender if kind == "name" else "", str(attempt))
     if kind == "email":
-        return _same_form(entity.split("@")[0], s) + f"@mail{_below(s, 10_000)}.example.org"
+        return _same_form(entity.split("@")[0], s) + f"@mail{_below(s, 10_000 * 16 ** min(attempt, 8))}.example.org"
     if kind == "ip":
-        return "10." + ".".join(str(_below(s, 256)) for _ in range(3))
+        if attempt >= SAME_FORM:
+            return "2001:db8:" + ":".join(f"{_below(s, 65536):x}" for _ in range(6))
+        first = "10" if attempt < 4 else str(240 + _below(s, 15))
+        return first + "." + ".".join(str(_below(s, 256)) for _ in range(3))
+    if kind != "name":
+        changes = any(c.isdigit() or c.isalpha() for c in entity)
+        more = "0" * max(0, attempt + 1 - SAME_FORM if changes else attempt)
+        entity = entity[:-1] + more + entity[-1] if kind == "card" else entity + more
     if kind in ("phone", "ssn"):
         return _same_form(entity, s)
     if kind == "card":
@@ -140,12 +155,12 @@ def surrogate(secret: bytes, kind: str, entity: str, gender: str, attempt: int)
         return entity[:4] + _same_form(entity[4:], s)
     if kind == "name":
         words = re.split(r"([ -])", entity)
-        made = [w if w in " -" else "".join(SYLLABLES[_below(s, 16)] for _ in range(2 + _below(s, 2))).capitalize() for w in words]
+        made = [w if w in " -" else "".join(SYLLABLES[_below(s, 16)] for _ in range(2 + _below(s, 2) + attempt)).capitalize() for w in words]
         if len(words) > 1:  # the given name shows the gender
             made[0] += ENDINGS[gender][_below(s, 4)]
         first = entity[0]
         if not "A" <= first <= "ɏ":
-            return _same_form(entity, s)
+            return _same_form(entity + entity[-1] * attempt, s)
         return "".join(made)
     return _same_form(entity, s, hexa=bool(re.fullmatch(r"[0-9a-f]+", entity)))
 
@@ -154,7 +169,7 @@ def written_like(kind: str, value: str, replacement: str) -> str:
     """A canonical replacement in the writing of ``value``: its separators stay."""
     if kind in ("phone", "card", "ssn", "iban"):
         rest = iter(replacement)
-        return "".join(next(rest) if c.isalnum() else c for c in value)
+        return "".join(next(rest) if c.isalnum() else c for c in value) + "".join(rest)
     return replacement
 
 

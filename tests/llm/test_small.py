@@ -301,6 +301,31 @@ def test_surrogate_collisions(spark, monkeypatch):
     assert secrets.count() == 10
 
 
+def test_surrogate_space_grows(spark):
+    """More one-word names than two or three syllables give, every one-digit secret, and a secret without letters or digits."""
+    from lattica.llm import pii
+    from lattica.llm.storage import Scratch
+
+    rows = [("name", f"N{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}", "n") for i in range(6000)]
+    rows += [("secret", f"{i}", "n") for i in range(10)] + [("secret", "******", "n")]
+    left = {(k, e, g) for k, e, g in rows}
+    real, settled, attempt = {(k, e) for k, e, _ in rows}, set(), 0
+    while left and attempt < 100:  # as distinct_surrogates, without tables
+        for x in sorted(left):
+            made = (x[0], pii.surrogate(b"k", *x, attempt))
+            if made not in real and made not in settled:
+                settled.add(made)
+                left.discard(x)
+        attempt += 1
+    assert not left and len(settled) == len(rows)
+    for kind, entity, value in (("card", "4111111111111111", "4111 1111 1111 1111"), ("phone", "15075557343", "+1 (507) 555-7343"), ("ssn", "123456789", "123-45-6789")):
+        made = pii.surrogate(b"k", kind, entity, "n", pii.SAME_FORM)
+        assert len(made) == len(entity) + 1 and pii.canonical(kind, pii.written_like(kind, value, made)) == made
+    names = spark.createDataFrame(rows[:6000] + rows[-1:], "kind string, entity string, gender string")
+    got = pii.distinct_surrogates(names, b"k", Scratch(spark, "t")).collect()
+    assert len(got) == 6001 == len({(r.kind, r.replacement) for r in got})
+
+
 # -- 7 --------------------------------------------------------------------------------
 def brute_lines(rows, least):
     """Lines of runs of ``least`` words or more that stand earlier as well."""
