@@ -45,8 +45,8 @@ PATTERNS = {
     "name": r"\b(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\b\.? (?P<name>[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:[ -][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)*)",
 }
 _ALL = re.compile("|".join(f"(?P<k_{k}>{p})" for k, p in PATTERNS.items()))
-#: A text without any of these holds no entity.
-_HINT = re.compile(r"[@\d]|" + "|".join(TITLES) + r"|[-_=:]")
+#: A text without any of these holds no entity: every pattern needs one of them.
+_HINT = re.compile(r"[@\d]|AKIA|ASIA|" + "|".join(TITLES) + r"|[-_=:]")
 _SPAN = "kind string, entity string, start int, stop int, gender string"
 
 
