@@ -2,7 +2,8 @@
 
 Lines are compared without their outer white space; blank lines take no part and always stay.  A run
 of consecutive lines with ``min_words`` words or more that stands earlier in the corpus (by doc_id,
-then position) is deleted where it stands again; its first place stays.
+then position) is deleted where it stands again; its first place stays.  Repeats that start or end within a
+line count by their whole lines alone; the README has figures on what that leaves.
 
 1. Each line becomes a hash.  A window opens at every line and takes lines until it holds
    ``min_words`` words; another closes at every line, backwards.  The least hash of each window is
