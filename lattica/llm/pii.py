@@ -1,11 +1,13 @@
 """Personal data and secrets replaced by keyed surrogates of the same type and form.
 
 Detected: e-mail addresses, phone numbers, IPv4 addresses, payment cards, IBANs, US social security
-numbers, API keys, tokens and passwords after a label, and personal names after a title or in a list.
+numbers, API keys, tokens and passwords after a label, and personal names with a title: Latin (to U+00FF),
+Cyrillic and Greek ones after it, Chinese ones (a usual surname and up to two characters) before it.  Names without
+a title are not found.
 
 A surrogate is drawn by HMAC-SHA-256 from (secret, type, canonical entity, attempt): letters stay
 letters of their script and case, digits stay digits, separators stay in place; cards keep a valid check
-digit, addresses end in reserved domains, names keep the title's gender.  The same entity gets the
+digit, addresses end in reserved domains, Latin names keep the title's gender.  The same entity gets the
 same surrogate everywhere (coreference).  Surrogates of all distinct entities are compared: where two
 entities draw one surrogate, or a surrogate equals a real entity, all but the first draw again
 with the next attempt until none collide (distinctness).
@@ -26,6 +28,12 @@ from lattica.llm.storage import Scratch, bounded_batches
 
 #: Titles that tell a gender (m, f) or none (n), in the languages of the corpus.
 TITLES = {"Mr": "m", "Sir": "m", "Herr": "m", "Señor": "m", "Sr": "m", "Monsieur": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Señora": "f", "Sra": "f", "Madame": "f", "Mme": "f", "Dr": "n", "Prof": "n"}
+TITLES |= {"Господин": "m", "господин": "m", "Г-н": "m", "г-н": "m", "Госпожа": "f", "госпожа": "f", "Г-жа": "f", "г-жа": "f", "Доктор": "n", "доктор": "n", "Д-р": "n", "д-р": "n", "Профессор": "n", "профессор": "n", "Проф": "n", "проф": "n"}
+TITLES |= {"Κύριος": "m", "κύριος": "m", "Κύριο": "m", "κύριο": "m", "Κύριε": "m", "κύριε": "m", "Κυρία": "f", "κυρία": "f", "Δρ": "n", "δρ": "n", "Καθηγητής": "m", "καθηγητής": "m", "Καθηγήτρια": "f", "καθηγήτρια": "f"}
+#: Titles that follow a Chinese name, and the surnames that start one.
+HAN_TITLES = {"先生": "m", "女士": "f", "小姐": "f", "太太": "f", "博士": "n", "教授": "n"}
+HAN_SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严武戴莫孔向汤張劉陳楊黃趙吳孫馬羅鄭謝許韓馮鄧蕭蔣葉蘇呂盧鍾譚陸賈韋鄒閻龍賀顧龔萬錢嚴湯"
+_NAME_WORD = "(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+|[А-ЯЁЄІЇЎҐ][а-яёєіїўґ]+|[Α-ΩΆΈ-ΊΌΎΏ][α-ωά-ίόύώΐΰϊϋ]+)"
 #: Word parts from which names are made, and endings by gender.
 SYLLABLES = ("ba", "del", "fi", "gor", "ha", "ki", "lem", "mo", "nar", "pe", "ro", "sa", "tul", "ve", "wi", "zan")
 ENDINGS = {"m": ("o", "us", "er", "on"), "f": ("a", "ia", "ine", "elle"), "n": ("is", "en", "al", "or")}
@@ -42,11 +50,11 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w-])|(?<![\w.])\+\d{8,15}(?!\w)",
-    "name": r"\b(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\b\.? (?P<name>[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:[ -][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)*)",
+    "name": r"\b(?P<title>" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\b\.? (?P<name>" + _NAME_WORD + "(?:[ -]" + _NAME_WORD + ")*)|(?P<han>[" + HAN_SURNAMES + "][一-鿿]{0,2}?)(?P<after>" + "|".join(HAN_TITLES) + ")",
 }
 _ALL = re.compile("|".join(f"(?P<k_{k}>{p})" for k, p in PATTERNS.items()))
 #: A text without any of these holds no entity: every pattern needs one of them.
-_HINT = re.compile(r"[@\d]|AKIA|ASIA|" + "|".join(TITLES) + r"|[-_=:]")
+_HINT = re.compile(r"[@\d]|AKIA|ASIA|" + "|".join([*TITLES, *HAN_TITLES]) + r"|[-_=:]")
 _SPAN = "kind string, entity string, start int, stop int, gender string"
 
 
@@ -64,9 +72,9 @@ def find_entities(text: str | None) -> list[tuple[str, str, int, int, str]]:
         kind = next(k[2:] for k in m.groupdict() if k.startswith("k_") and m.group(k) is not None)
         gender, (start, stop) = "n", m.span()
         if kind in ("secret", "name"):
-            start, stop = m.span(kind)
+            start, stop = m.span("han" if m["han"] else kind)
         if kind == "name":
-            gender = TITLES[re.match(r"\w+", m.group()).group()]
+            gender = HAN_TITLES[m["after"]] if m["han"] else TITLES[m["title"]]
         value = text[start:stop]
         if kind == "card" and not luhn(re.sub(r"\D", "", value)) and len(re.sub(r"\D", "", value)) not in (15, 16):
             continue
@@ -99,9 +107,9 @@ def _below(stream: Iterator[int], n: int) -> int:
 
 def _letters(c: str) -> str:
     """The alphabet of a letter's script, in its case."""
-    for first, last in (("а", "я"), ("α", "ω")):
+    for first, last, of in (("а", "я", "Ѐӿ"), ("α", "ω", "ͰϿ")):
         low = "".join(map(chr, range(ord(first), ord(last) + 1))).replace("ς", "")
-        if c.lower() in low or (first == "а" and c.lower() == "ё"):
+        if of[0] <= c <= of[1]:
             return low.upper() if c.isupper() else low
     if "一" <= c <= "鿿":
         return "".join(map(chr, range(0x4E00, 0x4E00 + 2000)))
@@ -156,8 +164,7 @@ def surrogate(secret: bytes, kind: str, entity: str, gender: str, attempt: int)
     if kind == "name":
         words = re.split(r"([ -])", entity)
         made = [w if w in " -" else "".join(SYLLABLES[_below(s, 16)] for _ in range(2 + _below(s, 2) + attempt)).capitalize() for w in words]
-        if len(words) > 1:  # the given name shows the gender
-            made[0] += ENDINGS[gender][_below(s, 4)]
+        made[0] += ENDINGS[gender][_below(s, 4)]  # the first word shows the gender
         first = entity[0]
         if not "A" <= first <= "ɏ":
             return _same_form(entity + entity[-1] * attempt, s)

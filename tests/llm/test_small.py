@@ -325,6 +325,24 @@ def test_each_pattern_implies_the_hint(spark):
     assert all(r.n_entities == 1 and "QWERTYUIOPASDFGH" not in r.text for r in got)
 
 
+def test_names_of_other_scripts(spark):
+    """Titled names are found and replaced in their own script; one-word Latin names show the title's gender."""
+    from lattica.llm import pii
+
+    texts = ["Вчера г-н Иванов и госпожа Анна Петрова-Ёлкина пришли", "Ο κύριος Παπαδόπουλος και η κυρία Άννα Νικολάου", "我見到王小明先生和李女士", "Herr Bob met Frau Ann, Mr. Ann", "Anna Smith has no title"]
+    want = [[("Иванов", "m"), ("Анна Петрова-Ёлкина", "f")], [("Παπαδόπουλος", "m"), ("Άννα Νικολάου", "f")], [("王小明", "m"), ("李", "f")], [("Bob", "m"), ("Ann", "f"), ("Ann", "m")], []]
+    assert [[(v, g) for _, v, _, _, g in pii.find_entities(t)] for t in texts] == want
+    script = (r"[А-Яа-я -]+", r"[Α-Ωα-ω -]+", r"[一-鿿]+")
+    for r in pii.replace_entities(documents(spark, texts), pii.key_of("k")).collect():
+        made = [r.text[s.start : s.stop] for s in r.spans]
+        assert r.n_entities == len(want[r.doc_id]) and not {v for v, _ in want[r.doc_id]} & set(made)
+        if r.doc_id < 3:
+            assert all(re.fullmatch(script[r.doc_id], x) for x in made)
+    for attempt in range(3):
+        for g, ends in pii.ENDINGS.items():
+            assert pii.surrogate(b"k", "name", "Bob", g, attempt).endswith(ends)
+
+
 def test_surrogate_space_grows(spark):
     """More one-word names than two or three syllables give, every one-digit secret, and a secret without letters or digits."""
     from lattica.llm import pii
