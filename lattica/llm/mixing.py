@@ -85,18 +85,23 @@ def flattened(shares: dict, power: float) -> dict:
     return {k: v / whole for k, v in raised.items()}
 
 
-def rake_frame(cells: DataFrame, targets: dict[str, DataFrame], total: float, scratch: Scratch, rounds: int = 60, ceiling: float = 1.0) -> DataFrame:
+def rake_frame(cells: DataFrame, targets: dict[str, DataFrame], total: float, scratch: Scratch, rounds: int = 200, tolerance: float = 1e-9, ceiling: float = 1.0) -> DataFrame:
     """``rake`` for any number of cells: (dimensions, tokens, p).  ``targets``: frames of (dimension, share)."""
     whole = cells.agg(F.sum("tokens")).first()[0]
     p = scratch.write(cells.withColumn("p", F.lit(min(total / whole, ceiling) if whole else ceiling)), "cells")
     for _ in range(rounds):
-        q = p
+        q = p.withColumn("_before", F.col("p"))
         for d, share in targets.items():
             factor = q.groupBy(d).agg(F.sum(F.col("p") * F.col("tokens")).alias("have")).join(share, d, "left")
             factor = factor.select(d, F.when(F.col("have") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("have")).otherwise(1.0).alias("f"))
             q = q.join(factor, d).withColumn("p", F.least(F.col("p") * F.col("f"), F.lit(ceiling))).drop("f")
-        p = scratch.write(q.select(*cells.columns, "p"), "cells")
-    return p
+        q = scratch.write(q.select(*cells.columns, "p", "_before"), "cells")
+        scratch.drop(p)
+        p = q
+        change = p.agg(F.max(F.abs(F.col("p") - F.col("_before")))).first()[0]
+        if change is None or change < tolerance:
+            break
+    return p.select(*cells.columns, "p")
 
 
 def mix(docs: DataFrame, dims: tuple[str, ...] = DIMS, tokens: str = "n_tokens", key: str = "doc_id", text: str = "text", targets: dict[str, dict] | None = None, budget: float = 0.7, power: float = 0.5, seed: int = 42, listed: int = 200_000) -> DataFrame:

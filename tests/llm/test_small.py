@@ -521,6 +521,30 @@ def test_mixing(spark):
     assert mix(df.limit(0)).count() == 0
 
 
+def test_rake_frame_stops_as_rake(spark):
+    """Slow convergence: as many rounds as on the driver, with the same result; a fit that is reached ends it."""
+    from lattica.llm.mixing import rake, rake_frame
+    from lattica.llm.storage import Scratch
+
+    class Counted(Scratch):
+        def write(self, df, name):
+            return super().write(df.coalesce(1), name)
+
+    def both(cells, targets, total):
+        scratch = Counted(spark, "t")
+        frame = spark.createDataFrame([(c["a"], c["b"], c["tokens"]) for c in cells], "a string, b string, tokens double").coalesce(1)
+        shares = {d: spark.createDataFrame(list(v.items()), f"{d} string, share double").coalesce(1) for d, v in targets.items()}
+        got = {(r.a, r.b): r.p for r in rake_frame(frame, shares, total, scratch).collect()}
+        return [got[c["a"], c["b"]] for c in cells], rake(cells, targets, total), scratch._n
+
+    # nearly diagonal cells converge slowly
+    cells = [{"a": a, "b": b, "tokens": t} for a, b, t in (("x", "u", 1000.0), ("x", "v", 1.0), ("y", "u", 1.0), ("y", "v", 1000.0))]
+    got, want, n = both(cells, {"a": {"x": 0.5, "y": 0.5}, "b": {"u": 0.45, "v": 0.55}}, 200.0)
+    assert n > 62 and got == pytest.approx(want, abs=1e-9)
+    got, want, n = both(cells, {"a": {"x": 0.5, "y": 0.5}, "b": {"u": 0.5, "v": 0.5}}, 200.0)
+    assert n < 5 and got == pytest.approx(want, abs=1e-9)
+
+
 # -- the pipeline -----------------------------------------------------------------------
 def test_pipeline_repeated_rows(spark):
     import corpus_pipeline as C
