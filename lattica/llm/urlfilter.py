@@ -4,8 +4,9 @@ A rule is ``(host, path, verdict)``.  It fits its host and every subdomain when
 with the rule's path; the longest rule string (host plus path) wins, then the longer host, then
 ``allow`` before ``block``.
 
-Every distinct (host, path) of the table is expanded into host suffixes (cut at dots) and path folders
-(cut after slashes).  An expression ``suffix + folder`` meets the rules by the first 32 bits of its
+Every distinct (host, path) of the table is expanded into host suffixes (cut at dots) and path prefixes,
+as far as some rule has a host of so many labels or a folder of that length: a megabyte of slashes makes no
+more rows than any other url.  An expression ``suffix + prefix`` meets the rules by the first 32 bits of its
 SHA-256 in an equi-join; the full digest and the rest of the rule's path are compared afterwards.  A
 rule whose path does not end at a slash is filed under its last folder, so no prefix is missed.
 """
@@ -40,6 +41,10 @@ def _short(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
+def _labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
+
+
 def rules_frame(spark, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
     """A rule table from ``(host, path, verdict)`` tuples."""
     return spark.createDataFrame([tuple(r) for r in rules], RULE_SCHEMA)
@@ -60,14 +65,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     folder = F.regexp_extract("rule_path", r"(?s)^(.*/)", 1)
     r = r.withColumn("full", _digest(F.concat_ws("\n", "rule_host", folder))).withColumn("short", _short(F.col("full")))
 
+    # only as many labels, and folders of just those lengths, as some rule has: few numbers, whatever a url holds
+    shapes = r.agg(F.collect_set(_labels(F.col("rule_host"))), F.collect_set(F.length(folder))).first()
+    counts, lengths = (F.array(*[F.lit(x) for x in sorted(found)]).cast("array<int>") for found in shapes)
     keys = asked.where(F.col("host") != "").select("host", "path").distinct()
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.split("path", "/", -1)
-    folders = F.transform(
-        F.sequence(F.lit(0), F.size(parts) - 1),
-        lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))),
-    )
+    suffixes = F.transform(F.filter(counts, lambda n: n <= _labels(F.col("host"))), lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
+    folders = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     e = keys.withColumn("suffix", F.explode(suffixes)).withColumn("folder", F.explode(folders))
     e = e.select("host", "path", "suffix", _digest(F.concat_ws("\n", "suffix", "folder")).alias("digest"))
     e = e.withColumn("short", _short(F.col("digest")))
