@@ -10,9 +10,9 @@ Documents are sets of k-word shingles; two link when ``den * |A & B| >= num * |A
    Each class picks the m that costs least by the counts of its prefix: longer prefixes read more
    postings, but a pair must share more of them (the smaller m of the two) before its sets are compared.
 4. Posting lists of up to ``SHORT`` classes are joined with themselves.  Longer lists stand for groups of
-   near copies: the classes that such lists tie together are dealt into blocks, and each pair of blocks
-   of near sizes is one task's work, in which pairs are counted, compared, and skipped once links already
-   connect them.  A task returns links of a spanning forest: no pair of a group is ever a row.
+   near copies: their classes are dealt into blocks, and each pair of blocks of near sizes that hold
+   members of one long list is one task's work, in which pairs are counted, compared, and skipped once
+   links already connect them.  A task returns links of a spanning forest: no pair of a group is ever a row.
 """
 
 from __future__ import annotations
@@ -149,20 +149,35 @@ def linked(u: np.ndarray, v: np.ndarray, num: int, den: int) -> bool:
     return den * same >= num * (len(u) + len(v) - same)
 
 
-def _grouped(postings: DataFrame, full: DataFrame, groups: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) within groups of classes (cls, grp) that long posting lists tie together."""
-    members = postings.groupBy("cls").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.collect_list("token").alias("prefix")).join(groups, "cls")
+def _grouped(postings: DataFrame, full: DataFrame, groups: DataFrame, long_lists: DataFrame, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between classes that share a long posting list, and (cls, lead): each class's least long token.
+
+    Classes with one lead stand in one block, or in several by their hash where they are more than ``BLOCK``;
+    rare leads share blocks.  Only blocks that hold members of one long list are compared.
+    """
+    held = postings.join(long_lists.select("token"), "token", "left_semi")
+    leads = scratch.write(held.groupBy("cls").agg(F.min("token").alias("lead")), "leads")
+    members = postings.groupBy("cls").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.collect_list("token").alias("prefix")).join(groups, "cls").join(leads, "cls")
     step = float(np.log(den / num)) or 1.0
     members = members.withColumn("level", F.floor(F.log("n") / step).cast("int"))
-    counts = members.groupBy("grp", "level").count().withColumn("parts", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
-    members = scratch.write(members.join(counts, ["grp", "level"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts"))), "members")
-    blocks = counts.select("grp", "level", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    x = blocks.select("grp", F.col("level").alias("l1"), F.col("part").alias("p1"))
-    y = blocks.select("grp", F.col("level").alias("l2"), F.col("part").alias("p2"))
-    near = (F.col("l2") == F.col("l1") + 1) | ((F.col("l2") == F.col("l1")) & (F.col("p2") >= F.col("p1")))
-    work = x.join(y, "grp").where(near).select("grp", F.xxhash64("grp", "l1", "p1", "l2", "p2").alias("unit"), F.array(F.struct(F.col("l1").alias("level"), F.col("p1").cast("bigint").alias("part"), F.lit(0).alias("side")), F.struct(F.col("l2").alias("level"), F.col("p2").cast("bigint").alias("part"), F.lit(1).alias("side"))).alias("ends"), ((F.col("l1") == F.col("l2")) & (F.col("p1") == F.col("p2"))).alias("same"))
-    ends = work.select("grp", "unit", "same", F.inline("ends")).where("not same or side = 0").drop("same")
-    dealt = ends.join(members.withColumn("part", F.col("part").cast("bigint")), ["grp", "level", "part"]).select("unit", "side", "cls", "m", "prefix").join(full.select("cls", "members"), "cls")
+    by_lead = members.groupBy("grp", "level", "lead").agg(F.count(F.lit(1)).alias("of_lead"))
+    rare = by_lead.where(F.col("of_lead") <= BLOCK).groupBy("grp", "level").agg(F.ceil(F.sum("of_lead") / BLOCK).alias("parts"))
+    dealt = by_lead.join(rare, ["grp", "level"], "left")
+    own = F.col("of_lead") > BLOCK
+    members = members.join(dealt, ["grp", "level", "lead"]).withColumn(
+        "block",
+        F.when(own, F.xxhash64("grp", "level", "lead", F.pmod(F.xxhash64("cls"), F.ceil(F.col("of_lead") / BLOCK)))).otherwise(F.xxhash64("grp", "level", F.lit("rare"), F.pmod(F.xxhash64("lead"), F.col("parts")))),
+    )
+    members = scratch.write(members.select("cls", "m", "prefix", "level", "block"), "members")
+    at = held.select("token", "cls").join(members.select("cls", "level", "block"), "cls").select("token", "level", "block").distinct()
+    at = scratch.write(at, "places")
+    x = at.select("token", F.col("level").alias("l1"), F.col("block").alias("b1"))
+    y = at.select("token", F.col("level").alias("l2"), F.col("block").alias("b2"))
+    near = (F.col("l2") == F.col("l1") + 1) | ((F.col("l2") == F.col("l1")) & (F.col("b2") >= F.col("b1")))
+    work = x.join(y, "token").where(near).select("b1", "b2").distinct()
+    work = work.select(F.xxhash64("b1", "b2").alias("unit"), (F.col("b1") == F.col("b2")).alias("same"), F.array(F.struct(F.col("b1").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b2").alias("block"), F.lit(1).alias("side"))).alias("ends"))
+    ends = work.select("unit", "same", F.inline("ends")).where("not same or side = 0").drop("same")
+    dealt = ends.join(members.select("block", "cls", "m", "prefix"), "block").select("unit", "side", "cls", "m", "prefix").join(full.select("cls", "members"), "cls")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("side", "ascending"), ("cls", "ascending")])
@@ -171,7 +186,9 @@ def _grouped(postings: DataFrame, full: DataFrame, groups: DataFrame, num: int,
         found = forest(sets, t.column("prefix").to_pylist(), t.column("m").to_pylist(), t.column("side").to_pylist(), num, den)
         return pa.table([pa.array([cls[i] for i, _ in found], pa.int64()), pa.array([cls[j] for _, j in found], pa.int64())], names=["a", "b"])
 
-    return scratch.write(dealt.groupBy("unit").applyInArrow(run, "a long, b long"), "links")
+    links = scratch.write(dealt.groupBy("unit").applyInArrow(run, "a long, b long"), "links")
+    scratch.drop(members, at)
+    return links, leads
 
 
 def _verified(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
@@ -265,24 +282,29 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, m
     lists = scratch.write(lists, "lists")
 
     links = None
-    groups = None
-    if not lists.where(F.col("size") > SHORT).isEmpty():
-        ties = postings.join(lists.where(F.col("size") > SHORT), "token").select(F.col("cls").alias("a"), F.col("least").alias("b"))
+    leads = None
+    long_lists = lists.where(F.col("size") > SHORT)
+    if not long_lists.isEmpty():
+        ties = postings.join(long_lists, "token").select(F.col("cls").alias("a"), F.col("least").alias("b"))
         groups = scratch.write(connected(ties, scratch).select(F.col("node").alias("cls"), F.col("comp").alias("grp")), "groups")
-        links = _grouped(postings, full, groups, num, den, scratch)
+        links, leads = _grouped(postings, full, groups, long_lists, num, den, scratch)
+        scratch.drop(groups)
+    # pairs with a long list in common have met in the blocks; those with one lead are left out here, the rest may meet twice
     p = postings.join(lists.where(F.col("size") <= SHORT).select("token"), "token", "left_semi")
-    p = p.join(groups, "cls", "left") if groups is not None else p.withColumn("grp", F.lit(None).cast("long"))
-    x = p.select("token", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "m", "grp")])
-    y = p.select("token", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "m", "grp")])
+    p = p.join(leads, "cls", "left") if leads is not None else p.withColumn("lead", F.lit(None).cast("long"))
+    x = p.select("token", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "m", "lead")])
+    y = p.select("token", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "m", "lead")])
     near = F.lit(den) * F.least("n_a", "n_b") >= F.lit(num) * F.greatest("n_a", "n_b")
-    met = x.join(y, "token").where((F.col("cls_a") < F.col("cls_b")) & near & ~F.coalesce(F.col("grp_a") == F.col("grp_b"), F.lit(False)))
+    met = x.join(y, "token").where((F.col("cls_a") < F.col("cls_b")) & near & ~F.coalesce(F.col("lead_a") == F.col("lead_b"), F.lit(False)))
     pairs = met.groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), F.least("m_a", "m_b").alias("m")).count().where("count >= m")
     ok = _verified(pairs, full, num, den).where("ok").select("a", "b")
     ok = scratch.write(ok, "verified")
+    scratch.drop(full, postings, lists, wanted)
     comp = connected(ok if links is None else ok.union(links), scratch)
 
     labelled = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = labelled.groupBy("comp").agg(F.min("k").alias("component_id"))
     of_class = scratch.write(labelled.join(least, "comp").select("sig", "component_id"), "components")
+    scratch.drop(classes, ok)
     out = rows.select("k", "row", "n", "sig").join(of_class, "sig", "left")
     return out.select(F.col("k").alias(key), "row", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k")).alias("component_id"))
