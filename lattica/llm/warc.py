@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.storage import Scratch, bounded_batches
+from lattica.llm.storage import Scratch, bounded_batches, remove
 
 FILE_BYTES = 32 << 20
 LEVEL = 4
@@ -164,10 +164,11 @@ def resolve_revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
     return out.select(headers["*"], F.when(revisit, "revisit").otherwise("response").alias("kind"), *[F.when(revisit, F.col(f"o.{c}")).alias(a) for c, a in (("page_id", "o_page"), ("record_id", "o_record"), ("url", "o_url"))])
 
 
-def rewrite(resolved: DataFrame, folder: str) -> DataFrame:
+def rewrite(resolved: DataFrame, folder: str, files: int) -> DataFrame:
     """Archives in which revisits hold headers alone; every record gets fresh headers.  Returns the manifest.
 
-    Work is dealt by source archive, whose size is bounded when it is written.
+    Work is dealt by source archive, whose size is bounded when it is written: as many partitions as ``files``, a
+    number that is given because the headers that are shuffled are far smaller than the archives read and written.
     """
     asked = resolved.select("path", "number", "kind", "o_page", "o_record", "o_url")
 
@@ -183,7 +184,7 @@ def rewrite(resolved: DataFrame, folder: str) -> DataFrame:
             out.add(_record(r["kind"], fresh_id(old), h.get("X-Page-Id"), h.get("WARC-Target-URI"), digest, size, block, extra))
         return pa.Table.from_batches([out.manifest()])
 
-    return asked.groupBy("path").applyInArrow(run, MANIFEST)
+    return asked.repartition(files, "path").groupBy("path").applyInArrow(run, MANIFEST)
 
 
 def deduplicated_archives(pages: DataFrame, min_bytes: int = 0, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
@@ -191,12 +192,16 @@ def deduplicated_archives(pages: DataFrame, min_bytes: int = 0, key: str = "page
 
     Null payloads count as empty, null keys and urls leave their header out, repeated rows make a record
     each (one is the response), an empty table makes no archive and gives an empty result.  Further
-    columns are ignored.  The new archives stay in the shared folder, in the ``path`` column's place.
+    columns are ignored.  The new archives stay in the shared folder, in the ``path`` column's place; the
+    first ones are deleted once the new ones are written.
     """
     spark: SparkSession = pages.sparkSession
     scratch = Scratch(spark, "warc")
-    first = scratch.write(write_archives(pages, scratch.place("raw"), key, url, payload), "manifest")
+    raw = scratch.place("raw")
+    first = scratch.write(write_archives(pages, raw, key, url, payload), "manifest")
     n = max(1, first.count())
     headers = scratch.write(read_headers(first, n), "headers")
-    second = scratch.write(rewrite(resolve_revisits(headers, min_bytes), scratch.place("deduplicated")), "manifest")
+    second = scratch.write(rewrite(resolve_revisits(headers, min_bytes), scratch.place("deduplicated"), n), "manifest")
+    scratch.drop(headers, first)
+    remove(spark, raw)
     return read_headers(second, n)
