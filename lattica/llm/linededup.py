@@ -6,13 +6,14 @@ then position) is deleted where it stands again; its first place stays.  Repeats
 line count by their whole lines alone; the README has figures on what that leaves.
 
 1. Each line becomes a hash.  A window opens at every line and takes lines until it holds
-   ``min_words`` words; another closes at every line, backwards.  The least hash of each window is
-   selected as its fingerprint, so two equal passages always share one.
-2. Fingerprints are grouped by hash (pre-aggregated); windows whose fingerprint stands at one place
-   only are done with.
-3. From the shared fingerprints matches are extended both ways: the forward and the backward window
-   around a fingerprint are compared by their whole content with the place where that content stands
-   first.  Overlapping windows together reach exactly as far as the longest equal run.
+   ``min_words`` words; another closes at every line, backwards.  The line with the least hash of each window is
+   selected (ties: the first).  Windows that select one line are one fingerprint, with its position and the
+   windows around it, so a text has far fewer fingerprints than lines, and two equal passages always share one.
+2. Fingerprints are joined by hash with the positions of their first and last occurrence
+   (pre-aggregated); those that stand at one place only are done with.
+3. From a shared fingerprint the match is extended both ways, to the windows that selected it: each is
+   compared by its whole content with the place where that content stands first.  Overlapping windows
+   together reach exactly as far as the longest equal run.
 4. Lines of windows that are not the first of their content are deleted.
 """
 
@@ -57,7 +58,7 @@ def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "
 
     def window(name, w, start):
         return F.struct(
-            F.min("h").over(w).alias("mark"),
+            F.min(F.struct("h", "pos")).over(w).alias("mark"),
             content(w).alias("content"),
             F.min("pos").over(w).alias("first"),
             F.max("pos").over(w).alias("last"),
@@ -65,13 +66,15 @@ def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, text: str = "
             F.lit(start).alias("ahead"),
         ).alias(name)
 
-    both = rows.select("k", "th", "pos", window("a", ahead, True), window("b", back, False))
-    windows = both.select("k", "th", F.explode(F.array("a", "b")).alias("v")).where("v.full").select("k", "th", "v.mark", "v.content", "v.first", "v.last", "v.ahead")
-    windows = scratch.write(windows, "windows")
+    both = rows.select("k", "th", window("a", ahead, True), window("b", back, False))
+    windows = both.select("k", "th", F.explode(F.array("a", "b")).alias("v")).where("v.full")
+    around = F.collect_list(F.struct("v.content", "v.first", "v.last", "v.ahead")).alias("windows")
+    prints = windows.groupBy("k", "th", F.col("v.mark.pos").alias("at"), F.col("v.mark.h").alias("mark")).agg(around)
+    prints = scratch.write(prints, "fingerprints")
 
-    shared = windows.groupBy("mark").agg(F.min(F.struct("k", "th", "first", "last")).alias("one"), F.max(F.struct("k", "th", "first", "last")).alias("other"))
-    shared = shared.where(F.col("one") != F.col("other")).select("mark")
-    near = windows.join(shared, "mark", "left_semi")
+    spot = F.struct("k", "th", "at")
+    shared = prints.groupBy("mark").agg(F.min(spot).alias("one"), F.max(spot).alias("other")).where("one != other").select("mark")
+    near = prints.join(shared, "mark", "left_semi").select("k", "th", F.inline("windows"))
     place = F.struct(F.col("k").isNull().alias("late"), "k", "th", "first")
     first = near.groupBy("content", "ahead").agg(F.min(place).alias("origin"), F.max(place).alias("end")).where("origin < end").drop("end")
     later = near.join(first, ["content", "ahead"]).where(place > F.col("origin"))
