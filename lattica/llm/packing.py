@@ -3,8 +3,9 @@
 Pieces are dealt by a hash of their key into blocks of bounded size.  Each block is packed by best-fit
 decreasing and then improved: items are moved, exchanged one for one or two for one between underfull
 bins as long as the sum of squared fills grows, until bins empty.  Bins that stay underfull are opened
-again and dealt to fewer blocks, until one block is left; full bins never move.  Only keys and
-lengths are shuffled, never token ids.
+again and dealt to fewer blocks; full bins never move.  Once that leaves most of them underfull, the
+emptiest bins of all blocks, as many as a block holds, are packed together at last.  Only keys and lengths are
+shuffled, never token ids.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from lattica.llm.storage import Scratch, bounded_batches
 
 CAPACITY = 4096
 BLOCK_ITEMS = 20_000
-PASSES = 4
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -48,96 +48,104 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, passes: int = PASSES) -> list[list[int]]:
-    """Local search between the underfull bins; every exchange makes the fuller of two bins fuller still.
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Local search between the underfull bins until a whole pass changes nothing.
 
-    Each change raises the sum of squared fills, so the search ends; ``passes`` bounds the rounds over all bins.
+    The fuller half of the underfull bins takes from the emptier half: a move, an exchange of one item for
+    one, or of two for one (or for none), whichever fills most.  Each change makes the fuller of two bins
+    fuller still and so raises the sum of squared fills, which ends the search.  What the emptier half
+    has is listed anew for each pass.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(passes):
-        changed = False
+    while True:
         under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (-fill[b], b))
-        if len(under) < 2:
-            break
-        # donors: the emptiest bins, which are the ones to be emptied
-        donors = list(reversed(under))[: max(1, min(64, len(under) // 2))]
-        stock = sorted((lengths[i], i, d) for d in donors for i in bins[d])
-        sizes = [x[0] for x in stock]
-        for a in under:
-            if a in donors or fill[a] == capacity:
-                continue
-            space = capacity - fill[a]
-            best = _exchange(bins[a], lengths, space, stock, sizes, fill, fill[a])
-            if best is None:
-                continue
-            gain, out, take, d = best
-            for i in take:
-                bins[d].remove(i)
-                bins[a].append(i)
-            if out is not None:
-                bins[a].remove(out)
-                bins[d].append(out)
-            fill[a] += gain
-            fill[d] -= gain
-            changed = True
-            touched = {*take}
-            stock = [x for x in stock if x[1] not in touched]
-            if out is not None:
-                insort(stock, (lengths[out], out, d))
-            sizes = [x[0] for x in stock]
-            if not stock:
-                break
+        half = (len(under) + 1) // 2
+        stock, changed = _Stock(bins, lengths, list(reversed(under[half:])), capacity), False
+        for a in under[:half]:
+            while fill[a] < capacity and (found := stock.best(bins[a], capacity - fill[a])) is not None:
+                gain, out, take, d = found
+                for i in take:
+                    bins[d].remove(i)
+                    bins[a].append(i)
+                if out is not None:
+                    bins[a].remove(out)
+                    bins[d].append(out)
+                stock.move(take, out, d)
+                fill[a], fill[d], changed = fill[a] + gain, fill[d] - gain, True
         if not changed:
-            break
-    return [b for b in bins if b]
-
-
-def _exchange(own, lengths, space, stock, sizes, fill, filled):
-    """The (gain, item given or None, items taken, donor) that fills the bin best: a move, one for one, or two for one."""
-    best = None
-
-    def offer(gain, out, take, d):
-        nonlocal best
-        if 0 < gain <= space and fill[d] - gain <= filled + gain and filled + gain > fill[d] and (best is None or gain > best[0]):
-            best = (gain, out, take, d)
-
-    at = bisect_right(sizes, space) - 1
-    if at >= 0:
-        offer(stock[at][0], None, [stock[at][1]], stock[at][2])
-    for x in own:
-        n = lengths[x]
-        at = bisect_right(sizes, n + space) - 1
-        if at >= 0 and sizes[at] > n:
-            offer(sizes[at] - n, x, [stock[at][1]], stock[at][2])
-        if best is not None and best[0] == space:
-            return best
-    seen: dict[int, list] = {}
-    for n, i, d in stock[:256]:
-        seen.setdefault(d, []).append((n, i))
-    for x in [None, *own]:
-        n = lengths[x] if x is not None else 0
-        for d, items in seen.items():
-            low, high = 0, len(items) - 1
-            while low < high:
-                both = items[low][0] + items[high][0]
-                if both <= n + space:
-                    if both > n:
-                        offer(both - n, x, [items[low][1], items[high][1]], d)
-                    low += 1
-                else:
-                    high -= 1
-        if best is not None and best[0] == space:
-            break
-    return best
+            return [b for b in bins if b]
+
 
+class _Stock:
+    """What the donor bins hold: items by length, and pairs of one bin by their sum, the emptiest bin's first.
 
-def _packer(names: list[str], capacity: int, passes: int, level: int):
+    Pairs of equal lengths in one bin count once, so a bin gives few of them however many items it has.
+    """
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], donors: list[int], capacity: int):
+        self.lengths, self.owner = lengths, {}
+        self.one: dict[int, list] = {}
+        self.two: dict[int, list] = {}
+        for d in reversed(donors):  # the last listed, the emptiest bin's, is taken first
+            by_length: dict[int, list[int]] = {}
+            for i in bins[d]:
+                self.owner[i] = d
+                self.one.setdefault(lengths[i], []).append(((i,), d))
+                by_length.setdefault(lengths[i], []).append(i)
+            sizes = sorted(by_length)
+            for x, m in enumerate(sizes):
+                for n in sizes[x:]:
+                    if m + n <= capacity and (m != n or len(by_length[m]) > 1):
+                        self.two.setdefault(m + n, []).append(((by_length[m][0], by_length[n][-1]), d))
+        self.sizes = {id(x): sorted(x) for x in (self.one, self.two)}
+
+    def largest(self, table: dict[int, list], least: int, most: int):
+        """(sum, items, bin) with the greatest sum above ``least`` and up to ``most``."""
+        sizes = self.sizes[id(table)]
+        at = bisect_right(sizes, most) - 1
+        while at >= 0 and sizes[at] > least:
+            entries = table[sizes[at]]
+            while entries:
+                items, d = entries[-1]
+                if all(self.owner.get(i) == d for i in items):
+                    return sizes[at], items, d
+                entries.pop()  # an item of it has gone
+            del sizes[at]
+            at -= 1
+        return None
+
+    def best(self, own: list[int], space: int):
+        """The (gain, item given or None, items taken, donor) that fills most, or None."""
+        best = None
+        given = {self.lengths[i]: i for i in own}
+        for table in (self.one, self.two):
+            for n, i in [(0, None), *sorted(given.items())]:
+                found = self.largest(table, n + (best[0] if best else 0), n + space)
+                if found is not None:
+                    best = (found[0] - n, i, found[1], found[2])
+                    if best[0] == space:
+                        return best
+        return best
+
+    def move(self, take: tuple[int, ...], out: int | None, donor: int) -> None:
+        for i in take:
+            del self.owner[i]
+        if out is not None:
+            self.owner[out] = donor
+            n = self.lengths[out]
+            if not self.one.get(n):
+                self.one[n] = []
+                insort(self.sizes[id(self.one)], n) if n not in self.sizes[id(self.one)] else None
+            self.one[n].append(((out,), donor))
+
+
+def _packer(names: list[str], capacity: int, level: int):
     """Packs one block; a sequence is named by its first item and its level."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("length", "descending"), ("_item", "ascending")])
         lengths, keys = t.column("length").to_pylist(), t.column("_item").to_pylist()
-        bins = improve(best_fit(lengths, capacity), lengths, capacity, passes)
+        bins = improve(best_fit(lengths, capacity), lengths, capacity)
         seq, off, full = [0] * len(lengths), [0] * len(lengths), [False] * len(lengths)
         for b in bins:
             b.sort()
@@ -150,7 +158,7 @@ def _packer(names: list[str], capacity: int, passes: int, level: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS, passes: int = PASSES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """``pieces`` (with ``length`` between 0 and ``capacity``) with ``sequence_id`` and ``offset`` (long).
 
     Sequences hold ``capacity`` at most; their pieces stand without gaps from offset 0.  Each row is one
@@ -168,21 +176,35 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_I
     names = [*own, "_item"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields] + ["sequence_id long", "offset long", "_full boolean"])
     rows = left.count()
+
+    def packed_in(rows_of: DataFrame, blocks: int, level: int) -> DataFrame:
+        dealt = rows_of.select(*names, F.pmod(F.xxhash64("_item"), F.lit(blocks)).alias("_block"))
+        return scratch.write(dealt.groupBy("_block").applyInArrow(_packer(names, capacity, level), schema), f"level{level}")
+
     while True:
         blocks = max(1, -(-rows // block_items))
-
-        dealt = left.select(*names, F.pmod(F.xxhash64("_item"), F.lit(blocks)).alias("_block"))
-        packed = scratch.write(dealt.groupBy("_block").applyInArrow(_packer(names, capacity, passes, level), schema), f"level{level}")
+        packed = packed_in(left, blocks, level)
         if blocks == 1:
             parts.append(packed.drop("_item", "_full"))
             break
         parts.append(packed.where("_full").drop("_item", "_full"))
         left = packed.where(~F.col("_full")).drop("_full", "sequence_id", "offset")
-        fewer = left.count()
-        if fewer > 0.7 * rows:  # bins can't be filled: what is left is as good as it gets
-            parts.append(packed.where(~F.col("_full")).drop("_item", "_full"))
+        fewer, level = left.count(), level + 1
+        if fewer > 0.7 * rows:
+            # blocks can't fill their bins alone: the emptiest of all blocks meet in one (a row for each fill is collected)
+            under = packed.where(~F.col("_full"))
+            fills = under.groupBy("sequence_id").agg(F.sum("length").alias("_bin"), F.count(F.lit(1)).alias("n"))
+            most, held = -1, 0
+            for fill, n in sorted(tuple(r) for r in fills.groupBy("_bin").agg(F.sum("n")).collect()):
+                held += n
+                if held > block_items:
+                    break
+                most = fill
+            last = scratch.write(under.join(fills.where(F.col("_bin") <= most).select("sequence_id"), "sequence_id", "left_semi"), "emptiest")
+            parts.append(under.join(fills.where(F.col("_bin") > most).select("sequence_id"), "sequence_id", "left_semi").select(packed.columns).drop("_item", "_full"))
+            parts.append(packed_in(last, 1, level).drop("_item", "_full"))
             break
-        rows, level = fewer, level + 1
+        rows = fewer
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
