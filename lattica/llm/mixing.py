@@ -113,6 +113,7 @@ def mix(docs: DataFrame, dims: tuple[str, ...] = DIMS, tokens: str = "n_tokens",
     keep their cell's probability.  Repeated rows are taken or left together.  An empty table gives an
     empty result.
 
+    ``docs`` is read twice, for the sums and for the sample; texts are neither shuffled nor written in between.
     Tokens are summed before they are shuffled, so a source with a third of all rows is a row for each task.
     Up to ``listed`` cells are raked on the driver; with more the same steps run as joins.
     """
@@ -121,7 +122,6 @@ def mix(docs: DataFrame, dims: tuple[str, ...] = DIMS, tokens: str = "n_tokens",
     own = [c for c in docs.columns if c not in ("probability", "sampled")]
     none = "\0"
     base = docs.select(*own, *[F.coalesce(F.col(d).cast("string"), F.lit(none)).alias(f"_{d}") for d in dims], F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("_u"))
-    base = scratch.write(base, "rows")
     cells = base.groupBy(*[f"_{d}" for d in dims]).agg(F.sum(F.coalesce(F.col(tokens).cast("decimal(20,0)"), F.lit(0))).cast("double").alias("tokens"))
     cells = scratch.write(cells, "cells")
     marginals = {f"_{d}": cells.groupBy(f"_{d}").agg(F.sum("tokens").alias("share")) for d in dims}
