@@ -77,15 +77,8 @@ def tables_of(bits: int, radius: int, spare: int = 1) -> tuple[int, list[tuple[i
     return blocks, list(combinations(range(blocks), blocks - radius))
 
 
-def neighbours(prints: DataFrame, radius: int = 3, bits: int = BITS, spare: int = 1) -> DataFrame:
-    """All pairs ``a < b`` of distinct fingerprints (hex) within ``radius`` bits, with ``distance``.
-
-    Equal fingerprints are one row here (join ``prints`` for the members), so groups of copies cause no
-    pairs.  Each of the permuted tables files a fingerprint under the blocks of one choice; pairs that
-    meet in a table are compared by all bits.  A table's bucket is joined by equality of its key, which Spark
-    splits where it is skewed.  Nulls are left out; an empty table gives an empty result.
-    """
-    distinct = prints.where(F.col("fingerprint").isNotNull()).select("fingerprint").distinct()
+def _filed(distinct: DataFrame, radius: int, bits: int, spare: int) -> DataFrame:
+    """(tab, bucket, f): each fingerprint in every permuted table, under the blocks of the table's choice."""
     blocks, choices = tables_of(bits, radius, spare)
     edges = [round(i * bits / blocks) for i in range(blocks + 1)]
 
@@ -99,7 +92,20 @@ def neighbours(prints: DataFrame, radius: int = 3, bits: int = BITS, spare: int
             cols = list(zip(*out, strict=True)) if out else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["tab", "bucket", "f"])
 
-    filed = distinct.mapInArrow(run, "tab int, bucket string, f string")
+    return distinct.mapInArrow(run, "tab int, bucket string, f string")
+
+
+def neighbours(prints: DataFrame, radius: int = 3, bits: int = BITS, spare: int = 1) -> DataFrame:
+    """All pairs ``a < b`` of distinct fingerprints (hex) within ``radius`` bits, with ``distance``.
+
+    Equal fingerprints are one row here (join ``prints`` for the members), so groups of copies cause no
+    pairs.  Each of the permuted tables files a fingerprint under the blocks of one choice; pairs that
+    meet in a table are compared by all bits.  A table's bucket is joined by equality of its key, which Spark
+    splits where it is skewed.  Nulls are left out; an empty table gives an empty result.  The result is
+    quadratic in a family of near fingerprints; ``near_links`` connects such a family with few rows.
+    """
+    distinct = prints.where(F.col("fingerprint").isNotNull()).select("fingerprint").distinct()
+    filed = _filed(distinct, radius, bits, spare)
     left, right = filed.withColumnRenamed("f", "a"), filed.withColumnRenamed("f", "b")
     words = [(i, 15) for i in range(0, bits // 4, 15)]
     distance = sum(
@@ -110,6 +116,82 @@ def neighbours(prints: DataFrame, radius: int = 3, bits: int = BITS, spare: int
     return met.where(F.col("distance") <= radius).distinct()
 
 
+def near_forest(prints: list[str], sides: list[int], radius: int) -> list[tuple[int, int]]:
+    """Links that connect whatever pairs within ``radius`` connect: of side 0 with side 1, or of one side with itself."""
+    n = len(prints)
+    x = np.frombuffer(b"".join(map(bytes.fromhex, prints)), np.uint64).reshape(n, -1)
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out, both, side = [], 1 in sides, np.array(sides)
+    for i in range(n):
+        apart = np.bitwise_count(x[i + 1 :] ^ x[i]).sum(axis=1, dtype=np.int64)
+        for j in (np.flatnonzero((apart <= radius) & ((side[i + 1 :] != side[i]) | (not both))) + i + 1).tolist():
+            a, b = find(i), find(j)
+            if a != b:
+                root[b] = a
+                out.append((i, j))
+    return out
+
+
+def near_links(prints: DataFrame, scratch: Scratch, radius: int = 3, bits: int = BITS, spare: int = 1, block: int = 256) -> DataFrame:
+    """Links (a, b) of distinct fingerprints within ``radius`` bits that connect all that pairs within it connect.
+
+    Buckets of the permuted tables are dealt into blocks of about ``block``; each pair of a bucket's blocks is
+    compared in one piece and gives a spanning forest, so no family's pairs become rows and no bucket is held whole.
+    """
+    distinct = prints.where(F.col("fingerprint").isNotNull()).select("fingerprint").distinct()
+    filed = scratch.write(_filed(distinct, radius, bits, spare), "filed")
+    parts = filed.groupBy("tab", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tab", "bucket", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    held = filed.join(parts, ["tab", "bucket"]).withColumn("p", F.pmod(F.xxhash64("f"), F.col("parts")).cast("int"))
+    # the pairs of blocks that a member takes part in: itself with every part, as side 1 of earlier ones
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")
+    unit = held.select("tab", "bucket", "f", "p", other).select("tab", "bucket", "f", F.least("p", "q").alias("p1"), F.greatest("p", "q").alias("p2"), (F.col("p") > F.col("q")).cast("int").alias("side"))
+    where = ["tab", "bucket", "p1", "p2"]
+    dealt = unit.repartition(*where).sortWithinPartitions(*where, "side", "f").select(F.concat_ws("/", *where).alias("unit"), "side", "f")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(members: list[tuple[int, str]]) -> list[tuple[str, str]]:
+            return [(members[i][1], members[j][1]) for i, j in near_forest([f for _, f in members], [s for s, _ in members], radius)] if len(members) > 1 else []
+
+        at, members = None, []
+        for b in batches:
+            out = []
+            for u, side, f in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if u != at:
+                    out += links(members)
+                    at, members = u, []
+                members.append((side, f))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], ["a", "b"])
+        out = links(members)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], ["a", "b"])
+
+    out = scratch.write(dealt.mapInArrow(run, "a string, b string").distinct(), "near")
+    scratch.drop(filed)
+    return out
+
+
+def near_classes(prints: DataFrame, radius: int = 3, bits: int = BITS, key: str = "doc_id") -> DataFrame:
+    """``prints`` with ``class_id``: the smallest key among documents reachable by fingerprints within ``radius`` bits.
+
+    Null fingerprints have their own key as class; an empty table gives an empty result.
+    """
+    from lattica.llm.jaccard import connected
+
+    scratch = Scratch(prints.sparkSession, "simhash-near")
+    links = near_links(prints, scratch, radius, bits)
+    comp = connected(links, scratch).select(F.col("node").alias("fingerprint"), "comp")
+    keyed = prints.join(comp, "fingerprint", "left").withColumn("comp", F.coalesce("comp", "fingerprint"))
+    least = keyed.where("comp is not null").groupBy("comp").agg(F.min(key).alias("class_id"))
+    out = keyed.join(least, "comp", "left").withColumn("class_id", F.coalesce("class_id", key))
+    return out.select(*prints.columns, "class_id")
+
+
 def edited_text(text: str, following: str) -> str:
     """The last floor(n / 3) characters replaced by as many from the start of ``following`` (or all of it)."""
     m = len(text) // 3
@@ -132,9 +214,10 @@ def edited_fingerprints(docs: DataFrame, bits: int = BITS, text: str = "text", k
     scratch = Scratch(spark, "simhash")
     rows = docs.select(docs[key].alias("k"), F.coalesce(docs[text], F.lit("")).alias("t"))
     order = [F.col("k").desc_nulls_last(), F.col("t").desc()]
+    ranges = [F.col("k").desc_nulls_last(), F.substring("t", 1, 64).desc()]  # bounds are sampled to the driver: no whole texts
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     kind = rows.schema["k"].dataType.simpleString()
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = rows.repartitionByRange(parts, *ranges).sortWithinPartitions(*order)
     own = f"k {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [x.split()[0] for x in own.split(", ")]
 
