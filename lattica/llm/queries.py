@@ -11,7 +11,8 @@ from lattica.llm.mixing import mix, topic_and_tokens
 from lattica.llm.packing import pack_documents
 from lattica.llm.pii import key_of, replace_entities
 from lattica.llm.quality import judge_quality
-from lattica.llm.simhash import edited_fingerprints
+from lattica.llm.simhash import edited_fingerprints, near_classes
+from lattica.llm.storage import Scratch
 from lattica.llm.tokencount import count_tokens, tokenizer_path
 from lattica.llm.urlfilter import judge_urls, rules_frame
 from lattica.llm.warc import deduplicated_archives
@@ -33,7 +34,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_quality(table(spark, sf_dir, "documents")).drop("n_lines", "distance")
+    return judge_quality(table(spark, sf_dir, "documents")).drop("n_distinct", "n_short", "n_marks", "distance")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(table(spark, sf_dir, "documents"))
+    prints = edited_fingerprints(table(spark, sf_dir, "documents"))
+    prints = Scratch(spark, "op9").write(prints, "prints")
+    return near_classes(prints)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

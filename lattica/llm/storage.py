@@ -28,10 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """A folder of written tables below the shared folder."""
 
+    #: Folders of this process that ``release`` may delete, in the order in which they were made.
+    made: list[str] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        Scratch.made.append(self.path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a frame that reads the files."""
@@ -51,6 +55,27 @@ class Scratch:
             remove(self.spark, df._scratch_path)
 
 
+def reads(df: DataFrame) -> str:
+    """The folders and files that a frame's plan reads, in one text."""
+    from py4j.protocol import Py4JError
+
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.size()):
+        try:
+            out.append(leaves.apply(i).relation().location().rootPaths().mkString(" "))
+        except Py4JError:  # no files
+            continue
+    return " ".join(out)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders whose tables nothing reads any more."""
+    for path in paths:
+        remove(spark, path)
+        if path in Scratch.made:
+            Scratch.made.remove(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
