@@ -12,15 +12,19 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.builtins import LIST, LOG, RESULTS, TESTS, is_builtin
-from lattica.functions.expressions import Expressions
-from lattica.functions.values import Val
+from lattica.functions.builtins import LOG, RESULTS, TESTS
+from lattica.functions.builtins import is_builtin as is_function
+from lattica.operators.formulas import STEPS, as_terms, bind, is_formula, is_list, value_of, variables
 from lattica.plans.compiler import Compiler, Dataset, Sol, fresh
 from lattica.plans.parser import Parser, is_var
 from lattica.storage import Tables
 from lattica.terms import OWL, RDF, RDF_TYPE, RDFS, TRIPLES, Term, iri
 
 
+def is_builtin(uri: str) -> bool:
+    return uri in STEPS or is_function(uri)
+
+
 class RuleError(ValueError):
     """An unsafe rule, or negation through recursion."""
 
@@ -37,10 +41,10 @@ class Rule:
         out = set()
         for s, p, o in self.body:
             if isinstance(p, Term) and is_builtin(p.v):
-                if (p.v in RESULTS or p.v == LIST + "member") and is_var(o):
+                if p.v in STEPS:
+                    out |= variables(s) | variables(o)
+                elif p.v in RESULTS and is_var(o):
                     out.add(o[1])
-                elif p.v == LIST + "in" and is_var(s):
-                    out.add(s[1])
             else:
                 out |= {x[1] for x in (s, p, o) if is_var(x)}
         return out
@@ -62,14 +66,40 @@ class RuleParser(Parser):
                 items.append(self.node(out))
             self.want(")")
             return ("list", items)
+        if self.at("{") and getattr(self, "in_rule", False):
+            return self.quoted()
         return super().node(out)
 
+    def quoted(self) -> tuple:
+        """A formula as a term: ("formula", atoms, rules)."""
+        self.want("{")
+        atoms, inner = [], []
+        while not self.at("}"):
+            if self.at("{"):
+                left = self.quoted()
+                self.want("=")
+                self.want(">")
+                inner.append((left, self.quoted() if self.at("{") else self.node([])))
+                self.take(".")
+            else:
+                atoms += self.triples_block()
+        self.want("}")
+        return ("formula", atoms, inner)
+
     def formula(self) -> list:
         self.want("{")
         out = []
         while not self.at("}"):
             if self.at("{"):
-                out.append(("neg", self.formula()))
+                start = self.i
+                group = self.quoted()
+                if self.at(".", "}"):  # a group by itself is negated
+                    self.i = start
+                    out.append(("neg", self.formula()))
+                    self.take(".")
+                else:
+                    self.properties(group, out)
+                    self.take(".")
             elif self.take_word("NOT"):
                 out.append(("neg", self.formula()))
             elif self.kind == "var" and self.tokens[self.i + 1][1] == "log:notIncludes":
@@ -83,7 +113,6 @@ class RuleParser(Parser):
 
     def document(self) -> tuple[list, list[Rule]]:
         facts, rules = [], []
-        self.text = self.text
         while self.kind != "end":
             if self.kind == "lang" and self.value in ("@prefix", "@base"):
                 word = self.next()[1]
@@ -160,6 +189,9 @@ class _Engine:
     def __init__(self, g: DataFrame):
         self.spark = g.sparkSession
         self.tables = Tables(self.spark, "rules")
+        self.prefixes: dict[str, str] = {"rdf": RDF, "rdfs": RDFS, "owl": OWL}
+        self.outputs: list[DataFrame] = []
+        self.changes: list[tuple[DataFrame, DataFrame]] = []
 
     def compiler(self, df: DataFrame) -> Compiler:
         return Compiler(Dataset(self.spark, quads=df))
@@ -178,91 +210,103 @@ class _Engine:
         sol = sol or all_.unit()
         for s, p, o in rule.body:
             if isinstance(p, Term) and is_builtin(p.v):
-                sol = self.builtin(sol, s, p.v, o)
+                sol = self.builtin(sol, s, p.v, o, known)
         for group in rule.negated:
             inner = None
             for t in group:
                 if isinstance(t[1], Term) and is_builtin(t[1].v):
-                    inner = self.builtin(inner, *t)
+                    inner = self.builtin(inner, t[0], t[1].v, t[2], known)
                 else:
                     part = all_.pattern(*t, None)
                     inner = part if inner is None else all_.join(inner, part)
             sol = Sol(sol.df.join(inner.df, all_.condition(sol, inner), "left_anti"), sol.vals, sol.sure)
         return sol
 
-    def builtin(self, sol: Sol, s, p: str, o) -> Sol:
-        ex = Expressions(sol.vals)
-
-        def value(x) -> Val:
-            return ex.value(x if is_var(x) else ("term", x))
-
-        if p in (LIST + "member", LIST + "in"):
-            return self.members(sol, *((s, o) if p == LIST + "member" else (o, s)), value)
-        args = [value(x) for x in s[1]] if isinstance(s, tuple) and s and s[0] == "list" else [value(s)]
+    def builtin(self, sol: Sol, s, p: str, o, known: DataFrame) -> Sol:
+        if p in STEPS:
+            return STEPS[p](self, sol, s, o, known)
+        value = lambda x: value_of(self, sol, x)
+        args = [value(x) for x in s[1]] if is_list(s) else [value(s)]
         if p in TESTS:
             return Sol(sol.df.where(TESTS[p](args[0], value(o))), sol.vals, sol.sure)
-        made = RESULTS[p](*args)
-        if is_var(o) and o[1] not in sol.vals:
-            c = fresh()
-            df = sol.df.withColumn(c, made.col).where(F.col(c).isNotNull())
-            return Sol(df, sol.vals | {o[1]: made.at(F.col(c))}, sol.sure | {o[1]})
-        from lattica.functions.expressions import equals
-
-        return Sol(sol.df.where(equals(made, value(o))), sol.vals, sol.sure)
-
-    def members(self, sol: Sol, items, x, value) -> Sol:
-        """``items list:member x``: a row for each member, or a test where ``x`` is bound."""
-        from lattica.functions.expressions import equals
-        from lattica.functions.values import unified
-
-        found = unified([value(y) for y in items[1]])
-        if is_var(x) and x[1] not in sol.vals:
-            c = fresh()
-            df = sol.df.withColumn(c, F.explode(F.array(*[v.col for v in found])))
-            return Sol(df, sol.vals | {x[1]: found[0].at(F.col(c))}, sol.sure | {x[1]})
-        some = F.lit(False)
-        for v in found:
-            some = some | F.coalesce(equals(v, value(x)), F.lit(False))
-        return Sol(sol.df.where(some), sol.vals, sol.sure)
+        return bind(self, sol, o, RESULTS[p](*args))
+
+    @staticmethod
+    def is_builtin(p) -> bool:
+        return isinstance(p, Term) and is_builtin(p.v)
+
+    def goal_body(self, atoms: list, known: DataFrame) -> Sol:
+        """What a formula's plain atoms find."""
+        return self.body(Rule(list(atoms), []), known, None, 0)
+
+    def closed(self, atoms: list, inner: list, whole: bool) -> list:
+        """(s, p, o) of a constant formula's closure under the rules in it, or of what they add."""
+        from lattica.operators.graphs import from_triples
+
+        if any(variables(x) for atom in atoms for x in atom):
+            raise RuleError("a formula with rules must be constant")
+        facts = from_triples(self.spark, [(a, p.v, c) for a, p, c in atoms])
+        rules = [Rule(list(left[1]), list(right[1]), name=f"q{i}") for i, (left, right) in enumerate(inner) if is_formula(right)]
+        done = reason(facts, rules)
+        done = done if whole else done.subtract(facts.select("s", "p", "o"))
+        return [(Term(*r["s"]), r["p"], Term(*r["o"])) for r in done.collect()]
 
     def heads(self, rule: Rule, sol: Sol) -> DataFrame:
-        return self.compiler(self.spark.createDataFrame([], TRIPLES)).instantiate(sol, [(*t, None) for t in rule.head]).select("s", "p", "o")
+        return self.compiler(self.spark.createDataFrame([], TRIPLES)).instantiate(as_terms(sol), [(*t, None) for t in rule.head]).select("s", "p", "o")
 
     def close(self, g: DataFrame, rules: list[Rule], rounds: int) -> DataFrame:
         known = self.tables.keep(g.select("s", "p", "o").distinct())
         for stratum in strata(rules):
             known = self.stratum(known, stratum, rounds)
+        for gone, new in self.changes:
+            known = self.tables.keep(known.join(gone.distinct(), ["s", "p", "o"], "left_anti").union(new).distinct())
         return known
 
     def stratum(self, known: DataFrame, rules: list[Rule], rounds: int) -> DataFrame:
-        delta, first = known, True
+        """Each round writes only what is new; what is known is read as the parts written so far."""
+        parts, delta, first = [known], known, True
         for _ in range(rounds):
-            parts = []
+            made = []
             for r in rules:
                 n = sum(1 for x in r.body if not (isinstance(x[1], Term) and is_builtin(x[1].v)))
                 for at in range(1 if first else n):
-                    parts.append(self.heads(r, self.body(r, known, None if first else delta, at)))
-            if not parts:
+                    made.append(self.heads(r, self.body(r, known, None if first else delta, at)))
+            if not made:
                 return known
-            new = parts[0]
-            for p in parts[1:]:
+            new = made[0]
+            for p in made[1:]:
                 new = new.union(p)
             delta = self.tables.keep(new.distinct().join(known, ["s", "p", "o"], "left_anti"))
             if delta.isEmpty():
                 return known
-            known, first = self.tables.keep(known.union(delta)), False
+            parts, first = [*parts, delta], False
+            if len(parts) > 8:  # few files to read, whatever the depth
+                parts = [parts[0], self.tables.keep(_all(parts[1:]))]
+            known = _all(parts)
         raise RuntimeError(f"no fixpoint after {rounds} rounds")
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 def reason(g: DataFrame, rules: str | list[Rule], rounds: int = 1000) -> DataFrame:
     """``g`` with everything that the rules (N3 text or ``Rule`` objects) derive from it."""
+    engine = _Engine(g)
     if isinstance(rules, str):
-        facts, rules = parse_rules(rules)
+        parser = RuleParser(rules)
+        facts, rules = parser.document()
+        for r in rules:
+            r.check()
+        engine.prefixes |= parser.prefixes
         if facts:
             from lattica.operators.graphs import from_triples, union
 
             g = union(g.select("s", "p", "o"), from_triples(g.sparkSession, facts))
-    return _Engine(g).close(g, rules, rounds)
+    return engine.close(g, rules, rounds)
 
 
 def inferences(g: DataFrame, rules: str | list[Rule]) -> DataFrame:
