@@ -291,35 +291,114 @@ def _mapping(a: list, b: list, ca: dict, cb: dict) -> dict | None:
     return search(0, {})
 
 
-def canonical_labels(triples: list, limit: int = 6) -> dict[Term, str]:
-    """RDFC-1.0 style labels ``c14n0``, ... of the blank nodes of a small graph on the driver."""
-    nodes = sorted({t for s, _, o in triples for t in (s, o) if t.k == BNODE})
-
-    def first_degree(n: Term, names: dict) -> str:
-        def show(t):
-            return (f"_:{names[t]}" if t in names else "_:a" if t == n else "_:z") if t.k == BNODE else t.n3()
-
-        return hashlib.sha256("".join(sorted(f"{show(s)} <{p}> {show(o)} .\n" for s, p, o in triples if n in (s, o))).encode()).hexdigest()
-
-    names: dict[Term, str] = {}
-    while len(names) < len(nodes):
-        groups: dict[str, list] = {}
-        for n in nodes:
-            if n not in names:
-                groups.setdefault(first_degree(n, names), []).append(n)
-        single = sorted((h, g[0]) for h, g in groups.items() if len(g) == 1)
-        if single:
-            names[single[0][1]] = f"c14n{len(names)}"
-            continue
-        tied = groups[min(groups)]
-        best = None
-        for n in tied[:limit]:
-            trial = dict(names) | {n: f"c14n{len(names)}"}
-            text = "".join(sorted(first_degree(m, trial) for m in nodes))
-            if best is None or text < best[0]:
-                best = (text, n)
-        names[best[1]] = f"c14n{len(names)}"
-    return names
+class _Issuer:
+    """Identifiers in the order in which nodes ask for them."""
+
+    def __init__(self, prefix: str, names: dict[Term, str] | None = None):
+        self.prefix, self.names = prefix, dict(names or {})
+
+    def issue(self, n: Term) -> str:
+        if n not in self.names:
+            self.names[n] = f"{self.prefix}{len(self.names)}"
+        return self.names[n]
+
+    def copy(self) -> _Issuer:
+        return _Issuer(self.prefix, self.names)
+
+
+class _Canonical:
+    """The labelling of RDFC-1.0 for the triples of a small graph, on the driver."""
+
+    def __init__(self, triples: list):
+        self.at: dict[Term, list] = {}
+        for t in dict.fromkeys(triples):
+            for n in {t[0], t[2]}:
+                if n.k == BNODE:
+                    self.at.setdefault(n, []).append(t)
+        self.issued = _Issuer("c14n")
+        self.first = {n: self.first_degree(n) for n in self.at}
+
+    @staticmethod
+    def digest(text: str) -> str:
+        return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+    def first_degree(self, n: Term) -> str:
+        """The hash of a node's own triples, where it is _:a and any other blank node _:z."""
+        show = lambda t: ("_:a" if t == n else "_:z") if t.k == BNODE else t.n3()
+        return self.digest("".join(sorted(f"{show(s)} <{p}> {show(o)} .\n" for s, p, o in self.at[n])))
+
+    def related(self, other: Term, predicate: str, issuer: _Issuer, place: str) -> str:
+        known = self.issued.names.get(other) or issuer.names.get(other)
+        return self.digest(f"{place}<{predicate}>" + (f"_:{known}" if known else self.first[other]))
+
+    def n_degree(self, n: Term, issuer: _Issuer) -> tuple[str, _Issuer]:
+        """The hash of a node by the paths that lead on from it, and the issuer of the least of them."""
+        groups: dict[str, list[Term]] = {}
+        for s, p, o in self.at[n]:
+            for other, place in ((s, "s"), (o, "o")):
+                if other.k == BNODE and other != n:
+                    groups.setdefault(self.related(other, p, issuer, place), []).append(other)
+        data = ""
+        for h in sorted(groups):
+            best: tuple[str, _Issuer] | None = None
+            for order in itertools.permutations(groups[h]):
+                found = self.path(order, issuer.copy(), best and best[0])
+                if found is not None and (best is None or found[0] < best[0]):
+                    best = found
+            data += h + best[0]
+            issuer = best[1]
+        return self.digest(data), issuer
+
+    def path(self, order: tuple[Term, ...], issuer: _Issuer, best: str | None) -> tuple[str, _Issuer] | None:
+        """The path of one order; None once it can't be less than the best one."""
+        longer = lambda text: best is not None and len(text) >= len(best) and text > best
+        text, deeper = "", []
+        for other in order:
+            if other in self.issued.names:
+                text += f"_:{self.issued.names[other]}"
+            else:
+                if other not in issuer.names:
+                    deeper.append(other)
+                text += f"_:{issuer.issue(other)}"
+            if longer(text):
+                return None
+        for other in deeper:
+            h, after = self.n_degree(other, issuer)
+            text += f"_:{issuer.issue(other)}<{h}>"
+            issuer = after
+            if longer(text):
+                return None
+        return text, issuer
+
+    def labels(self) -> dict[Term, str]:
+        groups: dict[str, list[Term]] = {}
+        for n, h in self.first.items():
+            groups.setdefault(h, []).append(n)
+        for h in sorted(groups):
+            if len(groups[h]) == 1:
+                self.issued.issue(groups[h][0])
+        for h in sorted(groups):
+            if len(groups[h]) == 1:
+                continue
+            paths = []
+            for n in groups[h]:
+                if n not in self.issued.names:
+                    temporary = _Issuer("b")
+                    temporary.issue(n)
+                    paths.append(self.n_degree(n, temporary))
+            for _, issuer in sorted(paths, key=lambda x: x[0]):
+                for n in issuer.names:
+                    self.issued.issue(n)
+        return self.issued.names
+
+
+def canonical_labels(triples: list) -> dict[Term, str]:
+    """RDFC-1.0 labels ``c14n0``, ... of the blank nodes of a small graph: the same for every renaming of its nodes.
+
+    Nodes that the hashes of their own triples tell apart cost a sort; others are compared by all paths that lead on
+    from them, which takes time factorial in the number of alike neighbours of a node.
+    """
+    return _Canonical(triples).labels()
 
 
 def canonical_text(triples: list) -> str:

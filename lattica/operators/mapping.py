@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +24,23 @@ class TableMap:
     """How a frame is a graph."""
 
     name: str
-    frame: DataFrame
+    source: DataFrame | Callable[[], DataFrame]  # a frame, or what opens it where a query needs the table
     key: Callable[[], Column]
     template: str
     type: str
     predicates: dict[str, tuple[str, str]]  # predicate -> (column, "" or the template of the entities it names)
     kinds: dict[str, str] = field(default_factory=dict)  # predicate -> datatype, "iri" or "@lang", where it isn't the column's own
+    schema: T.StructType | None = None  # known without opening
+
+    def __post_init__(self):
+        self._frame = None if callable(self.source) else self.source
+        self.schema = self.schema or self.frame.schema
+
+    @property
+    def frame(self) -> DataFrame:
+        if self._frame is None:
+            self._frame = self.source()
+        return self._frame
 
     def value(self, predicate: str) -> Val:
         column, template = self.predicates[predicate]
@@ -46,7 +58,7 @@ class TableMap:
             if name in NATIVE:
                 return lit(F.col(f"`{column}`").try_cast(NATIVE[name]), name)
             return Val("any", term_col(3, F.col(f"`{column}`").cast("string"), kind))
-        return from_spark(F.col(f"`{column}`"), self.frame.schema[column].dataType)
+        return from_spark(F.col(f"`{column}`"), self.schema[column].dataType)
 
     def subject(self) -> Val:
         return Val("iri", self.key(), template=self.template)
@@ -84,31 +96,37 @@ STAR = {
 }
 
 
-def table_map(frame: DataFrame, name: str, key: list[str], links: dict[str, str] | None = None, vocabulary: str = VOCABULARY, entity: str = ENTITY, iri_columns: tuple[str, ...] = ()) -> TableMap:
-    """The default mapping: one predicate per column of a plain type, one type for the table."""
+def table_map(frame: DataFrame | Callable[[], DataFrame], name: str, key: list[str], links: dict[str, str] | None = None, vocabulary: str = VOCABULARY, entity: str = ENTITY, iri_columns: tuple[str, ...] = (), schema: T.StructType | None = None) -> TableMap:
+    """The default mapping: one predicate per column of a plain type, one type for the table.  A frame that is a function is opened when it is read; it needs its ``schema``."""
     links = links or {}
-    plain = [f.name for f in frame.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
+    schema = schema or frame.schema
+    plain = [f.name for f in schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
     # a single key column is the entity itself and no property, unless it links to another table
     own = [c for c in plain if c not in key or c in links or len(key) > 1]
     cols = [F.col(f"`{c}`") for c in key]
     make = (lambda: cols[0]) if len(cols) == 1 else (lambda: F.concat_ws("-", *cols))
-    return TableMap(name, frame, make, entity.format(name), f"{vocabulary}{name.capitalize()}", {vocabulary + c: (c, entity.format(links[c]) if c in links else "") for c in own}, {vocabulary + c: "iri" for c in iri_columns})
+    return TableMap(name, frame, make, entity.format(name), f"{vocabulary}{name.capitalize()}", {vocabulary + c: (c, entity.format(links[c]) if c in links else "") for c in own}, {vocabulary + c: "iri" for c in iri_columns}, schema)
 
 
 #: Schemas by path: a table's footers are read once, not for every query.
 _SCHEMAS: dict[str, T.StructType] = {}
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
+def schema_of(spark: SparkSession, path: str) -> T.StructType:
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    return _SCHEMAS[path]
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schema_of(spark, path)).parquet(path)
 
 
 def star_schema(spark: SparkSession, folder: str, names: list[str] | None = None) -> list[TableMap]:
-    """The test tables as one graph."""
+    """The test tables as one graph; a query opens only those that it reads."""
     out = []
     for name in names or STAR:
         key, links = STAR[name]
-        out.append(table_map(read_table(spark, f"{folder}/{name}.parquet"), name, key, links, iri_columns=("url",) if name == "pages" else ()))
+        path = f"{folder}/{name}.parquet"
+        out.append(table_map(partial(read_table, spark, path), name, key, links, iri_columns=("url",) if name == "pages" else (), schema=schema_of(spark, path)))
     return out

@@ -45,6 +45,13 @@ class Sol:
         return Sol(df, {v: x.at(F.col(names[v])) for v, x in self.vals.items()}, self.sure)
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 @dataclass
 class Result:
     """``df`` has native columns (IRIs as strings); ``terms()`` has TERM structs."""
@@ -451,7 +458,12 @@ class Compiler:
         return sol, marks
 
     def correlated(self, sol: Sol, body: list, graph) -> tuple[Sol, Column]:
-        """A group and the condition under which its rows go with outer ones; its filters may use outer variables."""
+        """A group and the condition under which its rows go with outer ones."""
+        inner, rest = self.inner_group(sol, body, graph)
+        return inner, self.condition(sol, inner) & rest
+
+    def inner_group(self, sol: Sol, body: list, graph) -> tuple[Sol, Column]:
+        """A group and what its filters ask of outer variables."""
         filters = [x[1] for x in body if x[0] == "filter"]
         inner = self.group([x for x in body if x[0] != "filter"], graph)
         outer = []
@@ -460,15 +472,47 @@ class Compiler:
                 inner = self.filter(inner, f, graph)
             else:
                 outer.append(f)
-        cond = self.condition(sol, inner)
+        cond = F.lit(True)
         vals = inner.vals | sol.vals
         for f in outer:
             cond = cond & F.coalesce(Expressions(vals).truth(f), F.lit(False))
         return inner, cond
 
     def existence(self, sol: Sol, body: list, negated: bool, graph) -> Sol:
-        inner, cond = self.correlated(sol, body, graph)
-        return Sol(sol.df.join(inner.df, cond, "left_anti" if negated else "left_semi"), sol.vals, sol.sure)
+        inner, rest = self.inner_group(sol, body, graph)
+        shared = [v for v in sol.vals if v in inner.vals]
+        parts = []
+        for df, bound in self.split(sol, shared):
+            # inner rows that leave a variable unbound go with any value of it: one equi-join for each case
+            for right, also in self.split(inner, sorted(bound)):
+                cond = self.equal(sol, inner, also) & rest
+                if not negated:
+                    parts.append(df.join(right, cond, "left_semi"))
+                df = df.join(right, cond, "left_anti")
+            if negated:
+                parts.append(df)
+        return Sol(_union(parts), sol.vals, sol.sure)
+
+    def split(self, sol: Sol, among: list[str] | None = None) -> list[tuple[DataFrame, set]]:
+        """(rows, variables that they bind) for each way in which variables (of ``among``) may be bound or not; disjoint."""
+        loose = [v for v in (sol.vals if among is None else among) if v not in sol.sure]
+        firm = {v for v in (sol.vals if among is None else among) if v in sol.sure}
+        out = []
+        for case in itertools.product((True, False), repeat=len(loose)):
+            df = sol.df
+            for v, bound in zip(loose, case, strict=True):
+                c = sol.vals[v].col
+                df = df.where(c.isNotNull() if bound else c.isNull())
+            out.append((df, firm | {v for v, bound in zip(loose, case, strict=True) if bound}))
+        return out
+
+    def equal(self, a: Sol, b: Sol, on) -> Column:
+        """Equality of both sides' values: nothing but an equi-join's keys."""
+        cond = F.lit(True)
+        for v in sorted(on):
+            x, y = self.pair(a.vals[v], b.vals[v])
+            cond = cond & (x == y)
+        return cond
 
     # -- joins ----------------------------------------------------------------
     def pair(self, a: Val, b: Val) -> tuple[Column, Column]:
@@ -513,32 +557,14 @@ class Compiler:
         vals = self.merged(a, b, "inner")
         if not shared:
             return Sol(a.df.crossJoin(b.df), vals, sure)
-        if not loose or len(loose) > 2:
-            return Sol(a.df.join(b.df, self.condition(a, b)), vals, sure)
+        if not loose:
+            return Sol(a.df.join(b.df, self.equal(a, b, shared)), vals, sure)
         # rows are split by which loose variables are bound, so that each part is an equi-join
         parts = []
-        for case in itertools.product(("both", "left", "right"), repeat=len(loose)):
-            left, right, on = a.df, b.df, [v for v in shared if v not in loose]
-            for v, c in zip(loose, case, strict=True):
-                x, y = a.vals[v].col, b.vals[v].col
-                if c == "both":
-                    left, right = left.where(x.isNotNull()), right.where(y.isNotNull())
-                    on.append(v)
-                elif c == "left":
-                    left = left.where(x.isNull())
-                else:
-                    left, right = left.where(x.isNotNull()), right.where(y.isNull())
-            if any(c == "left" and v in a.sure or c == "right" and v in b.sure for v, c in zip(loose, case, strict=True)):
-                continue
-            cond = F.lit(True)
-            for v in on:
-                x, y = self.pair(a.vals[v], b.vals[v])
-                cond = cond & (x == y)
-            parts.append(left.join(right, cond) if on else left.crossJoin(right))
-        df = parts[0]
-        for p in parts[1:]:
-            df = df.union(p)
-        return Sol(df, vals, sure).pinned()
+        for left, bound in self.split(a, shared):
+            for right, also in self.split(b, sorted(bound)):
+                parts.append(left.join(right, self.equal(a, b, also)) if also else left.crossJoin(right))
+        return Sol(_union(parts), vals, sure).pinned()
 
     def optional(self, sol: Sol, body: list, graph) -> Sol:
         """Left join; the group's own filters see the outer variables and belong to the join condition."""
@@ -552,23 +578,41 @@ class Compiler:
                 held.append(f)
         if sol.unit:
             sol = Sol(sol.df, {}, frozenset())
-        cond = self.condition(sol, inner)
+        rest = F.lit(True)
         for f in held:
-            cond = cond & F.coalesce(Expressions(inner.vals | sol.vals).truth(f), F.lit(False))
-        return Sol(sol.df.join(inner.df, cond, "left"), self.merged(sol, inner, "left"), sol.sure)
+            rest = rest & F.coalesce(Expressions(inner.vals | sol.vals).truth(f), F.lit(False))
+        shared = [v for v in sol.vals if v in inner.vals]
+        vals = self.merged(sol, inner, "left")
+        columns = [*sol.df.columns, *inner.df.columns]
+        parts = []
+        for df, bound in self.split(sol, shared):
+            weak = [v for v in bound if v not in inner.sure]
+            if not weak:
+                parts.append(df.join(inner.df, self.equal(sol, inner, bound) & rest, "left"))
+                continue
+            # inner rows that leave a variable unbound go with any value of it: one equi-join for each case
+            alone = df
+            for right, also in self.split(inner, list(bound)):
+                cond = self.equal(sol, inner, also) & rest
+                parts.append(df.join(right, cond))
+                alone = alone.join(right, cond, "left_anti")
+            kinds = inner.df.schema
+            parts.append(alone.select(*sol.df.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in kinds.fields]))
+        return Sol(_union([p.select(*columns) for p in parts]), vals, sol.sure)
 
     def minus(self, a: Sol, b: Sol) -> Sol:
         """Rows go that agree with some inner row on all shared bound variables, one at least; disjoint domains remove nothing."""
         shared = [v for v in a.vals if v in b.vals]
         if not shared:
             return a
-        cond = self.condition(a, b)
-        if any(v not in a.sure or v not in b.sure for v in shared):
-            some = F.lit(False)
-            for v in shared:
-                some = some | (a.vals[v].col.isNotNull() & b.vals[v].col.isNotNull())
-            cond = cond & some
-        return Sol(a.df.join(b.df, cond, "left_anti"), a.vals, a.sure)
+        parts = []
+        for df, bound in self.split(a, shared):
+            if bound:
+                for right, also in self.split(b, sorted(bound)):
+                    if also:
+                        df = df.join(right, self.equal(a, b, also), "left_anti")
+            parts.append(df)
+        return Sol(_union(parts), a.vals, a.sure)
 
     # -- basic graph patterns -------------------------------------------------
     def bgp(self, triples: list, graph) -> Sol:

@@ -503,8 +503,28 @@ def load(spark, path: str, format: str | None = None):
 
     if name in ("ntriples", "nquads", "hextuples"):
         return {"ntriples": lines.read_ntriples, "nquads": lines.read_nquads, "hextuples": lines.read_hextuples}[name](spark, path)
-    whole = spark.read.text(path, wholetext=True).select(F.col("value")).collect()
-    return to_frame(spark, [q for r in whole for q in PARSERS[name](r[0])])
+    return parse_files(spark, path, name)
+
+
+def parse_files(spark, path: str, format: str):
+    """Quads of whole documents, each parsed by a task; blank nodes of several files are kept apart."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    parse, kind = PARSERS[format], to_arrow_schema(QUADS)
+    files = spark.read.text(path, wholetext=True).select("value", F.sha1(F.input_file_name()).alias("file"))
+    several = len(files.inputFiles()) > 1
+
+    def run(batches):
+        for b in batches:
+            for text, file in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = lambda t, f=file: t._replace(v=f"f{f[:12]}{t.v}") if several and t.k == BNODE else t
+                quads = [{"s": own(s)._asdict(), "p": p, "o": own(o)._asdict(), "g": g} for s, p, o, g in parse(text)]
+                for i in range(0, len(quads), 10_000):
+                    yield pa.RecordBatch.from_pylist(quads[i : i + 10_000], schema=kind)
+
+    return files.mapInArrow(run, QUADS).distinct()
 
 
 def collect_quads(g) -> list[Quad]:

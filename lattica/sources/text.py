@@ -13,7 +13,15 @@ _NODE = r'(<[^>]*>|_:[^\s]+|<<\(.*\)>>)'
 _LINE = rf'(?s)^\s*{_NODE}\s+(<[^>]*>)\s+(<[^>]*>|_:[^\s]+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?|<<\(.*\)>>)\s*(<[^>]*>|_:[^\s]+)?\s*\.\s*(?:#.*)?$'
 
 
-def _statements(lines: DataFrame, column: str = "value") -> DataFrame:
+#: Lines without a statement: blank ones and comments.
+_NO_STATEMENT = r"^\s*(#.*)?$"
+
+
+def _statements(lines: DataFrame, column: str = "value", skip_malformed: bool = False) -> DataFrame:
+    """Statements of lines; a line that is neither a statement, a comment nor blank is an error unless it is to be skipped."""
+    if not skip_malformed:
+        error = F.raise_error(F.concat(F.lit("malformed line: "), F.substring(column, 1, 200))).cast("boolean")
+        lines = lines.where(F.when(F.rlike(column, F.lit(_LINE)), True).when(F.rlike(column, F.lit(_NO_STATEMENT)), False).otherwise(error))
     part = lambda n: F.regexp_extract(column, _LINE, n)
     found = lines.where(F.rlike(column, F.lit(_LINE))).select(*[part(i + 1).alias(c) for i, c in enumerate("spog")])
     term = lambda c: parse_n3(F.col(c)).cast(TERM).alias(c)
@@ -21,18 +29,18 @@ def _statements(lines: DataFrame, column: str = "value") -> DataFrame:
     return found.select(term("s"), inner("p").alias("p"), term("o"), F.when(F.col("g") != "", F.when(F.col("g").startswith("<"), inner("g")).otherwise(F.col("g"))).alias("g"))
 
 
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """Triples of N-Triples files; comments and blank lines are passed over."""
-    return _statements(spark.read.text(path)).drop("g").distinct()
+def read_ntriples(spark: SparkSession, path: str, skip_malformed: bool = False) -> DataFrame:
+    """Triples of N-Triples files; comments and blank lines are passed over, malformed lines fail unless they are skipped."""
+    return _statements(spark.read.text(path), skip_malformed=skip_malformed).drop("g").distinct()
 
 
-def read_nquads(spark: SparkSession, path: str) -> DataFrame:
-    return _statements(spark.read.text(path)).distinct()
+def read_nquads(spark: SparkSession, path: str, skip_malformed: bool = False) -> DataFrame:
+    return _statements(spark.read.text(path), skip_malformed=skip_malformed).distinct()
 
 
 def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines that are neither statements, comments nor blank."""
-    return spark.read.text(path).where(~F.rlike("value", F.lit(_LINE)) & ~F.rlike("value", F.lit(r"^\s*(#.*)?$")))
+    return spark.read.text(path).where(~F.rlike("value", F.lit(_LINE)) & ~F.rlike("value", F.lit(_NO_STATEMENT)))
 
 
 def ntriples_lines(g: DataFrame) -> DataFrame:
