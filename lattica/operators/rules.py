@@ -262,24 +262,47 @@ class _Engine:
             known = self.tables.keep(known.join(gone.distinct(), ["s", "p", "o"], "left_anti").union(new).distinct())
         return known
 
+    @staticmethod
+    def shape(atom) -> tuple:
+        """(predicate, class of a type statement) that an atom names; None stands for any."""
+        _, p, o = atom
+        if not isinstance(p, Term):
+            return None, None
+        return p.v, o.v if p.v == RDF_TYPE and isinstance(o, Term) else None
+
+    def shapes(self, df: DataFrame, rules: list[Rule]) -> set:
+        """Which of the predicates and classes that the rules name stand in a frame: as many rows as they name, at most."""
+        asked = {self.shape(x) for r in rules for x in r.body if not self.is_builtin(x[1])}
+        named, classes = sorted({p for p, _ in asked if p}), sorted({c for _, c in asked if c})
+        if not named:
+            return {(None, None)}
+        of = F.when((F.col("p") == RDF_TYPE) & F.col("o.v").isin(classes), F.col("o.v")) if classes else F.lit(None).cast("string")
+        found = df.where(F.col("p").isin(named)).select("p", of.alias("c")).distinct().collect()
+        return {(None, None)} | {x for r in found for x in ((r["p"], r["c"]), (r["p"], None))}
+
     def stratum(self, known: DataFrame, rules: list[Rule], rounds: int) -> DataFrame:
-        """Each round writes only what is new; what is known is read as the parts written so far."""
-        parts, delta, first = [known], known, True
+        """Each round writes only what is new; what is known is read as the parts written so far.
+
+        A rule is asked only if all its predicates stand in the graph, and only for those of its atoms whose
+        predicate is among the last round's new triples.
+        """
+        plain = {id(r): [x for x in r.body if not self.is_builtin(x[1])] for r in rules}
+        parts, delta, have, fresh_ones = [known], known, self.shapes(known, rules), None
         for _ in range(rounds):
             made = []
             for r in rules:
-                n = sum(1 for x in r.body if not (isinstance(x[1], Term) and is_builtin(x[1].v)))
-                for at in range(1 if first else n):
-                    made.append(self.heads(r, self.body(r, known, None if first else delta, at)))
+                atoms = [self.shape(x) for x in plain[id(r)]]
+                if all(x in have for x in atoms):
+                    for at in [0] if fresh_ones is None else [i for i, x in enumerate(atoms) if x in fresh_ones]:
+                        made.append(self.heads(r, self.body(r, known, None if fresh_ones is None else delta, at)))
             if not made:
                 return known
-            new = made[0]
-            for p in made[1:]:
-                new = new.union(p)
+            new = _all(made)
             delta = self.tables.keep(new.distinct().join(known, ["s", "p", "o"], "left_anti"))
             if delta.isEmpty():
                 return known
-            parts, first = [*parts, delta], False
+            parts, fresh_ones = [*parts, delta], self.shapes(delta, rules)
+            have = have | fresh_ones
             if len(parts) > 8:  # few files to read, whatever the depth
                 parts = [parts[0], self.tables.keep(_all(parts[1:]))]
             known = _all(parts)

@@ -504,11 +504,6 @@ def a06(spark, folder):
     return _text(G.difference(g, G.match(g, p=RDF_TYPE)))
 
 
-@query("i24_shacl_pair", f"SELECT '<{E}customer/' || c_custkey || '>' AS focus, 'DatatypeConstraintComponent' AS component FROM customer")
-def i24(spark, folder):
-    return _violations(spark, folder, "sh:property [ sh:path v:c_name ; sh:datatype <http://www.w3.org/2001/XMLSchema#integer> ] .", "customer")
-
-
 @query("t05_ottr", f"SELECT '{E}nation/' || n_nationkey AS s, n_name AS o FROM nation")
 def t05(spark, folder):
     from lattica.operators.ottr import ottr_map, parse_ottr
