@@ -224,9 +224,9 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        from lattica.llm.tokens import WordEncoder
+        from lattica.llm.tokens import word_encoder
 
-        encoder = WordEncoder(tokenizer)
+        encoder = word_encoder(tokenizer)
         end, size = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []

@@ -9,6 +9,7 @@ no BPE merge can then join the two sides, so both sides are encoded alike in wha
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from array import array
@@ -19,6 +20,7 @@ import pyarrow as pa
 from lattica.llm.words import split_batch
 
 _MEMO_LIMIT = 800_000
+_WORD_LIMIT = 1_200_000
 
 
 class PieceEncoder:
@@ -201,7 +203,6 @@ class WordEncoder:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.tokenize = self.library.model.tokenize
         self.whole: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bool:
         try:
@@ -222,15 +223,16 @@ class WordEncoder:
 
     def _of(self, parts: list[str]) -> list[bytes]:
         whole = self.whole
-        try:
-            return list(map(whole.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(whole) > _MEMO_LIMIT:
-            whole.clear()
-            self.words.clear()
-        self._learn({p for p in parts if p not in whole})
-        return list(map(whole.__getitem__, parts))
+        found = list(map(whole.get, parts))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if new:
+            if len(whole) > _WORD_LIMIT:
+                whole.clear()
+                new = range(len(parts))
+            self._learn({parts[i] for i in new})
+            for i in new:
+                found[i] = whole[parts[i]]
+        return found
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -255,22 +257,49 @@ class WordEncoder:
                 out[i] = ids[a:b]
         return out
 
+    _RUN = re.compile(r"[a-z]+|[0-9]")
+
+    def _word(self, w: str) -> bytes:
+        """Ids of lower-case letters, which the library takes as one word, given to the model in its byte letters."""
+        return array("I", [t.id for t in self.tokenize(w if w.isascii() else "".join(map(_BYTE.__getitem__, w.encode())))]).tobytes()
+
     def _learn(self, parts: set[str]) -> None:
-        """Split off what stands before and after the letters, which the library splits off too, and ask for each new word."""
-        words, split = self.words, {}
+        """Split off what stands before and after the letters, which the library splits off too, and learn each new word.
+
+        The library also splits letters from digits, and each digit from the next.
+        """
+        whole, split, other = self.whole, {}, set()
+        whole[""] = b""
         for p in parts:
             q = p.lower()
+            if q.isalpha():
+                ids = whole.get(q)
+                if ids is None:
+                    ids = whole[q] = self._word(q)
+                whole[p] = ids
+                continue
             core = q.strip(".,;:!?()\"")
-            split[p] = (q[: q.index(core)], core, q[q.index(core) + len(core) :]) if core and core[0].isalnum() and core[-1].isalnum() else (q, "", "")
-        new = list({w for x in split.values() for w in x if w and w not in words})
-        other = []
-        for w in new:
-            if w.isalpha():  # one word for the model, given in its byte letters
-                words[w] = array("I", [t.id for t in self.tokenize("".join(map(_BYTE.__getitem__, w.encode())))]).tobytes()
-            else:
-                other.append(w)
-        for w, ids in zip(other, self._ask(other), strict=True):
-            words[w] = ids
-        words[""] = self.whole[""] = b""
+            if not (core and core[0].isalnum() and core[-1].isalnum()):
+                core = q
+            if core not in whole:
+                if core.isalpha():
+                    whole[core] = self._word(core)
+                elif core.isascii() and core.isalnum():
+                    whole[core] = b"".join([whole[x] if x in whole else whole.setdefault(x, self._word(x)) for x in self._RUN.findall(core)])
+                else:
+                    other.add(core)
+            if core != p:
+                at = q.index(core)
+                split[p] = x = (q[:at], core, q[at + len(core) :])
+                other.update(y for y in (x[0], x[2]) if y not in whole)
+        asked = list(other)
+        for w, ids in zip(asked, self._ask(asked), strict=True):
+            whole[w] = ids
         for p, x in split.items():
-            self.whole[p] = words[x[0]] + words[x[1]] + words[x[2]]
+            whole[p] = whole[x[0]] + whole[x[1]] + whole[x[2]]
+
+
+@functools.lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of this process: what it remembers serves all tasks that a Python worker runs."""
+    return WordEncoder(path)

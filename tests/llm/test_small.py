@@ -623,3 +623,21 @@ def test_pipeline_stages(spark, tmp_path):
             ids = sorted(before)
             assert kept[n] == {c for _, _, c in brute_groups([before[i] for i in ids], ids, 5, 80, 100)}
     assert {r.doc_id for r in C.run(spark, str(tmp_path)).collect()} == kept["packing"]
+
+
+def test_word_encoder_equals_the_library():
+    """Odd mixtures of letters, digits and marks, in batches, before and after the memory of words is emptied."""
+    import random
+
+    from lattica.llm import tokens
+
+    encoder = tokens.WordEncoder(tokenizer_path("word_bpe_49k.json"))
+    rng, marks = random.Random(3), "aAbZz09 15.,;:!?()\"'’-_éÉßÀ²½İ٣\n\tstvermld"
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["", " ", "word " * 5000]
+    want = [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.encode_many(texts)] == want
+    limit, tokens._WORD_LIMIT = tokens._WORD_LIMIT, 10
+    try:
+        assert [x.tolist() for x in encoder.encode_many(texts)] == want
+    finally:
+        tokens._WORD_LIMIT = limit
