@@ -242,6 +242,27 @@ def b02(spark, folder):
     return _text(q).withColumn("g", F.lit(f"{E}g")) if "g" not in _text(q).columns else _text(q)
 
 
+_CUSTOMERS = " UNION ALL ".join(f"""SELECT '<{E}customer/' || c_custkey || '>' AS s, '<{E}v#{c}>' AS p, '"' || {c} || '"' AS o FROM customer""" for c in ("c_name", "c_mktsegment"))
+
+
+@query("b14_arrow_round_trip", _CUSTOMERS)
+def b14_arrow(spark, folder):
+    from lattica.sources.arrow import read_arrow, write_arrow
+    from lattica.storage import Tables
+
+    path = Tables(spark, "arrow").path
+    write_arrow(triples_of(spark, folder, "customer").where(F.col("p").isin(f"{E}v#c_name", f"{E}v#c_mktsegment")), path)
+    return _text(read_arrow(spark, path))
+
+
+@query("v09_simple_graph", f"SELECT '<{E}orders/' || o_orderkey || '>' AS s, '<{E}placed-by>' AS p, '<{E}customer/' || o_custkey || '>' AS o FROM orders")
+def v09(spark, folder):
+    from lattica.operators.indexed import from_simple_graph, to_simple_graph
+
+    edges, nodes = to_simple_graph(triples_of(spark, folder, "orders").where(F.col("p") == f"{E}v#o_custkey"))
+    return _text(from_simple_graph(edges, nodes, f"{E}placed-by"))
+
+
 # -- updates -----------------------------------------------------------------------------------------
 def _state(spark, folder, text: str, *names: str) -> DataFrame:
     """(s, p, o, g) after an update; the default graph is an empty g."""

@@ -19,7 +19,7 @@ from lattica.sources.documents import parse_turtle
 from lattica.storage import Tables, fixpoint
 from lattica.terms import BNODE, IRI, LITERAL, OWL, RDF, RDF_TYPE, RDFS, SH, TERM, XSD, Term, iri, lit_term, n3_col
 
-_NONE = F.lit(None).cast(TERM)
+_none = lambda: F.lit(None).cast(TERM)  # noqa: E731  (a column needs a session)
 
 
 class Shapes:
@@ -123,7 +123,7 @@ class Validator:
 
         def add(rows: DataFrame, component: str, value="value") -> None:
             nonlocal out
-            v = F.col("value") if value == "value" else _NONE
+            v = F.col("value") if value == "value" else _none()
             out = out.unionByName(rows.select("focus", F.lit(path.n3() if path is not None and path.k == IRI else "path" if path is not None else "").alias("path"), v.alias("value"), F.lit(component).alias("component"), F.lit(s.v).alias("shape"), F.lit(severity).alias("severity"), F.lit(message).alias("message")))
 
         value = Val("any", F.col("value"))
@@ -163,6 +163,9 @@ class Validator:
             add(pairs.join(fails.where(F.col("f") != len(members) - 1), "value", "left_semi"), "XoneConstraintComponent")
         for c in get(s, "qualifiedValueShape"):
             good = pairs.join(self.failing(c, pairs, stack), "value", "left_anti")
+            if (one(s, "qualifiedValueShapesDisjoint") or Term(0, "")).v in ("true", "1"):
+                for other in self.siblings(s, c):  # a value that conforms to a sibling's shape doesn't count
+                    good = good.join(self.failing(other, good, stack), "value", "left_semi")
             n = foci.join(good.groupBy("focus").count(), "focus", "left").withColumn("count", F.coalesce("count", F.lit(0)))
             for k in get(s, "qualifiedMinCount"):
                 add(n.where(F.col("count") < int(k.v)), "QualifiedMinCountConstraintComponent", "")
@@ -180,6 +183,12 @@ class Validator:
             out = out.unionByName(self.violations(p, values, stack))
         return out
 
+    def siblings(self, s: Term, own: Term) -> list[Term]:
+        """Qualified value shapes of the other property shapes of each shape that has ``s`` as a property."""
+        parents = [p for p in self.shapes.by if s in self.shapes.get(p, "property")]
+        found = {q for p in parents for x in self.shapes.get(p, "property") for q in self.shapes.get(x, "qualifiedValueShape")}
+        return sorted(found - {own})
+
     def failing(self, c: Term, pairs: DataFrame, stack: tuple) -> DataFrame:
         """Values that don't conform to a shape."""
         foci = pairs.select(F.col("value").alias("focus")).distinct()

@@ -11,15 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.operators.update import State
+from lattica.plans.parser import parse_update
 from lattica.sources import results as R
 from lattica.terms import Term
 
 
 class RemoteStore:
-    """A SPARQL endpoint as a read-only graph; ``transport`` sends a query's text and returns a JSON result."""
+    """A SPARQL endpoint as a graph; ``transport`` sends a query's text and returns a JSON result, ``sender`` sends an update's."""
 
-    def __init__(self, spark: SparkSession, endpoint: str, transport: Callable[[str, str], str] | None = None):
+    def __init__(self, spark: SparkSession, endpoint: str, transport: Callable[[str, str], str] | None = None, update_endpoint: str | None = None, sender: Callable[[str, str], None] | None = None):
         self.spark, self.endpoint, self.transport = spark, endpoint, transport or _post
+        self.update_endpoint, self.sender = update_endpoint or endpoint, sender or _post_update
+
+    def update(self, text: str) -> None:
+        """Checked here, done there: an update that doesn't parse is not sent."""
+        parse_update(text)
+        self.sender(self.update_endpoint, text)
 
     def query(self, text: str):
         return R.from_json(self.spark, self.transport(self.endpoint, text))
@@ -53,6 +60,34 @@ def _post(endpoint: str, text: str) -> str:
         return r.read().decode()
 
 
+def _post_update(endpoint: str, text: str) -> None:
+    request = urllib.request.Request(endpoint, text.encode(), {"Content-Type": "application/sparql-update"})
+    with urllib.request.urlopen(request, timeout=60) as r:
+        r.read()
+
+
+class ObservedState:
+    """A state whose changes call back: ``on("add", f)`` and ``on("remove", f)``, each with a frame of the quads concerned."""
+
+    def __init__(self, state: State):
+        self.state, self.listeners = state, {"add": [], "remove": []}
+
+    def on(self, event: str, f: Callable[[DataFrame], None]) -> None:
+        self.listeners[event].append(f)
+
+    def off(self, event: str, f: Callable[[DataFrame], None]) -> None:
+        self.listeners[event].remove(f)
+
+    def update(self, text: str) -> ObservedState:
+        before, self.state = self.state, self.state.update(text)
+        old, new = before.quads, self.state.quads
+        for event, rows in (("add", new.subtract(old)), ("remove", old.subtract(new))):
+            if self.listeners[event] and not rows.isEmpty():
+                for f in list(self.listeners[event]):
+                    f(rows)
+        return self
+
+
 class AuditedStore:
     """A state with a journal: (change, quad text) rows, and undo."""
 

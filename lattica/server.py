@@ -1,7 +1,8 @@
 """SPARQL protocol and graph store over HTTP: a thin driver-side front, for small results.
 
-``GET/POST /sparql`` queries, ``POST /update`` updates, ``GET/PUT/POST/DELETE /data?default|graph=iri`` graphs,
-``POST /shacl`` validates, ``GET /`` describes the service.  Updates are one at a time.
+``GET/POST /sparql`` queries, ``POST /update`` updates, ``GET/PUT/POST/DELETE/PATCH /data?default|graph=iri`` graphs
+(a patch is an RDF Patch or an update), ``POST /upload`` adds a document, ``POST /reason?regime=rdfs|owl|owl-rl`` adds a closure,
+``POST /shacl`` validates, ``GET /stats`` counts, ``GET /`` describes the service.  Updates are one at a time.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import functions as F
 
+from lattica.operators import rules
 from lattica.operators.update import State
 from lattica.plans.parser import SparqlError, parse_query
 from lattica.sources import documents as D
 from lattica.sources import results as R
+from lattica.sources.text import apply_patch
 
 RESULT_TYPES = {"application/sparql-results+json": R.to_json, "application/json": R.to_json, "application/sparql-results+xml": R.to_xml, "text/csv": R.to_csv, "text/tab-separated-values": R.to_tsv}
 
@@ -72,6 +75,27 @@ class Service:
         with self.lock:
             self.state = self.state.removed(self.graph(name))
 
+    def patch(self, name: str | None, body: str, media: str) -> None:
+        if media == "application/sparql-update":
+            self.update(body)
+            return
+        lines = [(x.strip(),) for x in body.splitlines() if x[:2] in ("A ", "D ")]
+        with self.lock:
+            graph = self.graph(name)
+            frame = self.state.spark.createDataFrame(lines, "value string")
+            after = apply_patch(graph.select("s", "p", "o"), frame).withColumn("g", F.lit(name).cast("string"))
+            self.state = self.state.removed(graph).added(after)
+
+    def reason(self, name: str | None, regime: str) -> None:
+        close = {"rdfs": rules.rdfs_closure, "owl": rules.owl_closure, "owl-rl": rules.owl_rl_closure}[regime]
+        with self.lock:
+            closed = close(self.graph(name).select("s", "p", "o"))
+            self.state = self.state.added(closed.withColumn("g", F.lit(name).cast("string")))
+
+    def stats(self) -> dict:
+        """Triples of each graph; the default graph has no name."""
+        return {r["g"] or "": r["n"] for r in self.state.quads.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+
     def validate(self, shapes: str) -> list[dict]:
         from lattica.operators.shacl import validate
 
@@ -102,7 +126,7 @@ def serve(state: State, port: int = 3030, host: str = "127.0.0.1") -> ThreadingH
             accept = self.headers.get("Accept", "*/*")
             try:
                 if url.path == "/":
-                    self.answer(200, "application/json", json.dumps({"endpoints": ["/sparql", "/update", "/data", "/shacl"], "graphs": sorted(service.state.names())}))
+                    self.answer(200, "application/json", json.dumps({"endpoints": ["/sparql", "/update", "/data", "/upload", "/reason", "/shacl", "/stats"], "graphs": sorted(service.state.names())}))
                 elif url.path == "/sparql":
                     self.answer(200, *service.query(args.get("query", body if media == "application/sparql-query" else ""), accept))
                 elif url.path == "/update":
@@ -110,10 +134,21 @@ def serve(state: State, port: int = 3030, host: str = "127.0.0.1") -> ThreadingH
                     self.answer(204)
                 elif url.path == "/shacl":
                     self.answer(200, "application/json", json.dumps(service.validate(body)))
+                elif url.path == "/stats":
+                    self.answer(200, "application/json", json.dumps(service.stats()))
+                elif url.path == "/upload":
+                    service.put(args.get("graph"), body, media or "text/turtle", False)
+                    self.answer(204)
+                elif url.path == "/reason":
+                    service.reason(args.get("graph"), args.get("regime", "rdfs"))
+                    self.answer(204)
                 elif url.path == "/data":
                     name = args.get("graph")
                     if self.command in ("GET", "HEAD"):
                         self.answer(200, "text/turtle", D.write_turtle([(s, p, o, None) for s, p, o, _ in D.collect_quads(service.graph(name))]))
+                    elif self.command == "PATCH":
+                        service.patch(name, body, media)
+                        self.answer(204)
                     elif self.command == "DELETE":
                         service.delete(name)
                         self.answer(204)
@@ -125,7 +160,7 @@ def serve(state: State, port: int = 3030, host: str = "127.0.0.1") -> ThreadingH
             except (SparqlError, KeyError, ValueError) as e:
                 self.answer(400, body=str(e))
 
-        do_GET = do_POST = do_PUT = do_DELETE = do_HEAD = handle_all  # noqa: N815
+        do_GET = do_POST = do_PUT = do_DELETE = do_PATCH = do_HEAD = handle_all  # noqa: N815
 
         def log_message(self, *_) -> None:
             pass

@@ -506,6 +506,27 @@ def load(spark, path: str, format: str | None = None):
     return parse_files(spark, path, name)
 
 
+def save(g, path: str, format: str | None = None) -> None:
+    """Write quads in a format, or in that of the path's extension: formats by line as a folder of parts, others as one file."""
+    from lattica.sources import text as lines
+
+    name = format or next((f for e, f in EXTENSIONS.items() if path.endswith(e)), None)
+    if name in ("ntriples", "nquads"):
+        lines.write_ntriples(g if name == "nquads" else g.select("s", "p", "o"), path)
+    elif name == "hextuples":
+        lines.write_hextuples(g, path)
+    elif name in WRITERS:
+        spark, text = g.sparkSession, WRITERS[name](collect_quads(g))
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+    else:
+        raise ValueError(f"no format for {path}")
+
+
 def parse_files(spark, path: str, format: str):
     """Quads of whole documents, each parsed by a task; blank nodes of several files are kept apart."""
     import pyarrow as pa
