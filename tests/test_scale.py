@@ -35,3 +35,16 @@ def test_points_relate_without_samples(monkeypatch):
     assert slow[0] == 0
     assert geo.crosses(line, box) and geo.crosses(box, line) and slow[0] == 2
     assert not geo.crosses(geo.parse_wkt("LINESTRING(0 0, 1 1)"), box) and not geo.crosses(geo.parse_wkt("LINESTRING(1.5 1.5, 2 2)"), box)
+
+
+def test_triple_terms_keep_plans_small(spark):
+    one = table_map(spark.range(3).select("id", F.concat(F.lit('a"\\\n'), "id").alias("n")), "t", ["id"])
+    data = Dataset(spark, [one], prefixes={"v": "http://ex.org/v#"})
+    whole = "SELECT ?n (STR(SUBJECT(TRIPLE(?r, v:n, ?n))) AS ?s) (OBJECT(TRIPLE(?r, v:n, ?n)) = ?n AS ?same) WHERE { ?r v:n ?n }"
+    bound = "SELECT ?n (STR(SUBJECT(?t)) AS ?s) (OBJECT(?t) = ?n AS ?same) WHERE { ?r v:n ?n BIND(IF(?n = '', ?n, TRIPLE(?r, v:n, ?n)) AS ?t) }"
+    for text, limit in ((whole, 10_000), (bound, 200_000)):
+        df = data.query(text).df
+        assert len(df._jdf.queryExecution().analyzed().toString()) < limit
+        assert rows_of(df) == [(f'a"\\\n{i}', f"http://ex.org/t/{i}", True) for i in range(3)]
+    gone = data.query("SELECT (SUBJECT(TRIPLE(?r, v:n, ?none)) AS ?s) (OBJECT(TRIPLE(?r, v:n, 'x')) AS ?o) WHERE { ?r v:n ?n } LIMIT 1").df
+    assert rows_of(gone) == [(None, "x")]
