@@ -9,16 +9,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.functions import values as V
 from lattica.functions.builtins import LOG, RESULTS, TESTS
 from lattica.functions.builtins import is_builtin as is_function
+from lattica.functions.values import Val
 from lattica.operators.formulas import STEPS, as_terms, bind, is_formula, is_list, value_of, variables
 from lattica.plans.compiler import Compiler, Dataset, Sol, fresh
 from lattica.plans.parser import Parser, is_var
-from lattica.storage import Tables
-from lattica.terms import OWL, RDF, RDF_TYPE, RDFS, TRIPLES, Term, iri
+from lattica.storage import Tables, distinct_rows
+from lattica.terms import BNODE, OWL, RDF, RDF_TYPE, RDFS, TERM, TRIPLES, Term, iri
 
 
 def is_builtin(uri: str) -> bool:
@@ -254,8 +256,40 @@ class _Engine:
     def heads(self, rule: Rule, sol: Sol) -> DataFrame:
         return self.compiler(self.spark.createDataFrame([], TRIPLES)).instantiate(as_terms(sol), [(*t, None) for t in rule.head]).select("s", "p", "o")
 
+    @staticmethod
+    def apart(rule: Rule, others: list[Rule]) -> bool:
+        """Whether no two heads of a rule, nor one and another rule's head, can be equal triples of one subject."""
+        named = [t[1].v if isinstance(t[1], Term) else None for t in rule.head]
+        taken = {t[1].v if isinstance(t[1], Term) else None for r in others if r is not rule for t in r.head}
+        plain = all(t[0] == rule.head[0][0] and (is_var(t[2]) or isinstance(t[2], Term) and t[2].k != BNODE) for t in rule.head)
+        return len(named) > 3 and is_var(rule.head[0][0]) and plain and None not in {*named, *taken} and len(set(named)) == len(named) and not taken & set(named)
+
+    def heads_apart(self, rule: Rule, sol: Sol) -> tuple[DataFrame, DataFrame]:
+        """The heads of a rule as distinct triples and as others: a subject that one solution has alone needs no DISTINCT.
+
+        So a rule of many heads shuffles its solutions once and not each head's triples.
+        """
+        sol, subject = as_terms(sol), rule.head[0][0][1]
+        used = {v: f"v{i}" for i, v in enumerate(dict.fromkeys(t[2][1] for t in rule.head if is_var(t[2]) and t[2][1] != subject))}
+        rows = sol.df.select(V.to_term(sol.vals[subject]).cast(TERM).alias("s"), *[sol.vals[v].col.alias(c) for v, c in used.items()])
+        by = Window.partitionBy("s").orderBy("s")
+        alone = F.lag(F.lit(True)).over(by).isNull() & F.lead(F.lit(True)).over(by).isNull()
+        rows = self.tables.keep(rows.where(F.col("s").isNotNull()).withColumn("alone", alone))
+        vals = {subject: Val("any", F.col("s"))} | {v: sol.vals[v].at(F.col(c)) for v, c in used.items()}
+        return tuple(self.heads(rule, Sol(rows.where(x), vals, sol.sure & set(vals))) for x in (F.col("alone"), ~F.col("alone")))
+
+    @staticmethod
+    def unknown(new: DataFrame, known: DataFrame, rules: list[Rule]) -> DataFrame:
+        """The triples of ``new`` that don't stand in ``known``; of that only the predicates of the heads are read."""
+        named = {t[1].v if isinstance(t[1], Term) else None for r in rules for t in r.head}
+        if None not in named:
+            known = known.where(F.col("p").isin(sorted(named)))
+            if known.isEmpty():
+                return new
+        return new.join(known, ["s", "p", "o"], "left_anti")
+
     def close(self, g: DataFrame, rules: list[Rule], rounds: int) -> DataFrame:
-        known = self.tables.keep(g.select("s", "p", "o").distinct())
+        known = self.tables.keep(distinct_rows(g.select("s", "p", "o")))
         for stratum in strata(rules):
             known = self.stratum(known, stratum, rounds)
         for gone, new in self.changes:
@@ -289,16 +323,23 @@ class _Engine:
         plain = {id(r): [x for x in r.body if not self.is_builtin(x[1])] for r in rules}
         parts, delta, have, fresh_ones = [known], known, self.shapes(known, rules), None
         for _ in range(rounds):
-            made = []
+            jobs = []
             for r in rules:
                 atoms = [self.shape(x) for x in plain[id(r)]]
                 if all(x in have for x in atoms):
-                    for at in [0] if fresh_ones is None else [i for i, x in enumerate(atoms) if x in fresh_ones]:
-                        made.append(self.heads(r, self.body(r, known, None if fresh_ones is None else delta, at)))
-            if not made:
+                    jobs += [(r, at) for at in ([0] if fresh_ones is None else [i for i, x in enumerate(atoms) if x in fresh_ones])]
+            if not jobs:
                 return known
-            new = _all(made)
-            delta = self.tables.keep(new.distinct().join(known, ["s", "p", "o"], "left_anti"))
+            asked = [r for r, _ in jobs]
+            made, single = [], []
+            for r, at in jobs:
+                sol = self.body(r, known, None if fresh_ones is None else delta, at)
+                if sum(x is r for x in asked) == 1 and self.apart(r, asked):
+                    one, more = self.heads_apart(r, sol)
+                    single, made = [*single, one], [*made, more]
+                else:
+                    made.append(self.heads(r, sol))
+            delta = self.tables.keep(self.unknown(_all([_all(made).distinct(), *single]), known, asked))
             if delta.isEmpty():
                 return known
             parts, fresh_ones = [*parts, delta], self.shapes(delta, rules)

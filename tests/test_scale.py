@@ -48,3 +48,23 @@ def test_triple_terms_keep_plans_small(spark):
         assert rows_of(df) == [(f'a"\\\n{i}', f"http://ex.org/t/{i}", True) for i in range(3)]
     gone = data.query("SELECT (SUBJECT(TRIPLE(?r, v:n, ?none)) AS ?s) (OBJECT(TRIPLE(?r, v:n, 'x')) AS ?o) WHERE { ?r v:n ?n } LIMIT 1").df
     assert rows_of(gone) == [(None, "x")]
+
+
+def test_rule_writes_without_static_broadcasts_and_distinct_of_lone_subjects(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from lattica.operators.graphs import from_triples
+    from lattica.operators.rules import _Engine, inferences
+    from lattica.terms import iri, literal
+
+    seen, split, write, apart = [], [], DataFrameWriter.parquet, _Engine.heads_apart
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: seen.append(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")) or write(self, *a, **k))
+    monkeypatch.setattr(_Engine, "heads_apart", lambda *a: split.append(apart(*a)) or split[-1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    e = lambda n: iri(f"http://e/{n}")
+    g = from_triples(spark, [(e(s), f"http://e/{p}", literal(o)) for s, p, o in (("a", "p", 1), ("a", "p", 2), ("a", "q", 5), ("b", "p", 3), ("b", "q", 5))])
+    rule = "@prefix : <http://e/> . { ?s :p ?x . ?s :q ?y } => { ?s :h1 ?x . ?s :h2 ?y . ?s :h3 ?x . ?s :h4 'k' } ."
+    found = sorted((r.s.v[-1], r.p[-2:], r.o.v) for r in inferences(g, rule).collect())
+    assert found == [("a", "h1", "1"), ("a", "h1", "2"), ("a", "h2", "5"), ("a", "h3", "1"), ("a", "h3", "2"), ("a", "h4", "k"), ("b", "h1", "3"), ("b", "h2", "5"), ("b", "h3", "3"), ("b", "h4", "k")]
+    assert [x.count() for x in split[0]] == [4, 8]  # b alone; a twice, with repeats
+    assert set(seen) == {"-1"} and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
