@@ -68,3 +68,21 @@ def test_rule_writes_without_static_broadcasts_and_distinct_of_lone_subjects(spa
     assert found == [("a", "h1", "1"), ("a", "h1", "2"), ("a", "h2", "5"), ("a", "h3", "1"), ("a", "h3", "2"), ("a", "h4", "k"), ("b", "h1", "3"), ("b", "h2", "5"), ("b", "h3", "3"), ("b", "h4", "k")]
     assert [x.count() for x in split[0]] == [4, 8]  # b alone; a twice, with repeats
     assert set(seen) == {"-1"} and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+def test_only_tables_that_can_hold_the_subject_are_read(spark):
+    opened = []
+
+    def table(name, rows):
+        frame = spark.createDataFrame(rows, "id string, x string")
+        return table_map(lambda: opened.append(name) or frame, name, ["id"], schema=frame.schema)
+
+    data = Dataset(spark, [table("a", [("1", "p"), ("2", "q"), ("", "r")]), table("ab", [("1", "z")])], prefixes={"v": "http://ex.org/v#", "e": "http://ex.org/"})
+    assert {(r.s, r.o) for r in data.query("DESCRIBE <http://ex.org/a/2>").df.collect()} == {("<http://ex.org/a/2>", "<http://ex.org/v#A>"), ("<http://ex.org/a/2>", '"q"')}
+    assert rows_of(data.query("SELECT ?s ?o WHERE { ?s a v:A ; ?p ?o }").df) == [("http://ex.org/a/1", "http://ex.org/v#A"), ("http://ex.org/a/1", "p"), ("http://ex.org/a/2", "http://ex.org/v#A"), ("http://ex.org/a/2", "q")]
+    assert len(data.query("DESCRIBE ?s WHERE { ?s a v:A ; v:x 'p' }").df.collect()) == 2
+    assert data.query("DESCRIBE <http://ex.org/a/> <http://other/1>").df.collect() == []
+    assert set(opened) == {"a"}
+    assert len(data.query("DESCRIBE <http://ex.org/a/1> <http://ex.org/ab/1>").df.collect()) == 4 and set(opened) == {"a", "ab"}
+    assert len(data.query("DESCRIBE ?s <http://ex.org/ab/1> WHERE { ?s a v:A }").df.collect()) == 6
+    assert rows_of(data.query("SELECT ?o WHERE { <http://ex.org/ab/1> ?p ?o }").df) == [("http://ex.org/v#Ab",), ("z",)]
