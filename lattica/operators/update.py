@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lattica.plans import parser as P
 from lattica.plans.compiler import Compiler, Dataset, Sol
-from lattica.storage import Tables
+from lattica.storage import Tables, distinct_rows
 from lattica.terms import QUADS, TERM, Term
 
 _EMPTY = "s struct<k:tinyint,v:string,dt:string,lang:string,dir:string>, p string, o struct<k:tinyint,v:string,dt:string,lang:string,dir:string>, g string"
@@ -51,10 +51,10 @@ class State:
 
     # -- changes ----------------------------------------------------------------
     def added(self, rows: DataFrame) -> State:
-        return self.at(self.quads.unionByName(rows.select("s", "p", "o", "g")).distinct())
+        return self.at(distinct_rows(self.quads.unionByName(rows.select("s", "p", "o", "g"))))
 
     def removed(self, rows: DataFrame) -> State:
-        r = rows.select(*[F.col(c).alias(f"_{c}") for c in ("s", "p", "o", "g")]).distinct()
+        r = rows.select(*[F.col(c).alias(f"_{c}") for c in ("s", "p", "o", "g")])
         q = self.quads
         cond = (q["s"] == r["_s"]) & (q["p"] == r["_p"]) & (q["o"] == r["_o"]) & q["g"].eqNullSafe(r["_g"])
         return self.at(q.join(r, cond, "left_anti"))
@@ -135,7 +135,7 @@ def modify(state: State, op: dict) -> State:
         state = state.removed(tables.keep(compiler.instantiate(sol, default(op["delete"]))))
     if op["insert"]:
         state = state.added(tables.keep(compiler.instantiate(sol, default(op["insert"]))))
-    return state
+    return replace(state, quads=tables.keep(state.quads))  # the next operation reads it, and isn't planned with this one
 
 
 def manage(state: State, op: dict) -> State:
