@@ -100,7 +100,7 @@ class Validator:
         if out is None:
             return self.spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
         text = lambda c: n3_col(F.col(c)).alias(c)
-        return out.select(text("focus"), "path", text("value"), "component", "shape", "severity", "message").distinct()
+        return self.tables.keep(out.select(text("focus"), "path", text("value"), "component", "shape", "severity", "message").distinct())
 
     # -- shapes -----------------------------------------------------------------
     def violations(self, s: Term, foci: DataFrame, stack: tuple) -> DataFrame:

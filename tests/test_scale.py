@@ -86,3 +86,24 @@ def test_only_tables_that_can_hold_the_subject_are_read(spark):
     assert len(data.query("DESCRIBE <http://ex.org/a/1> <http://ex.org/ab/1>").df.collect()) == 4 and set(opened) == {"a", "ab"}
     assert len(data.query("DESCRIBE ?s <http://ex.org/ab/1> WHERE { ?s a v:A }").df.collect()) == 6
     assert rows_of(data.query("SELECT ?o WHERE { <http://ex.org/ab/1> ?p ?o }").df) == [("http://ex.org/v#Ab",), ("z",)]
+
+
+def test_distinct_rows_and_states_are_planned_by_tasks(spark):
+    from lattica.operators.graphs import from_triples
+    from lattica.operators.shacl import validate
+    from lattica.operators.update import State
+    from lattica.storage import distinct_rows
+    from lattica.terms import RDF_TYPE, iri, literal
+
+    df = spark.range(8).select((F.col("id") % 3).alias("k")).coalesce(1)
+    plan = distinct_rows(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("HashAggregate") < plan.index("Exchange") and "HashAggregate" not in plan[plan.index("Exchange") :]  # none before the shuffle
+    assert rows_of(distinct_rows(df)) == [(0,), (1,), (2,)]
+    e = lambda n: iri(f"http://e/{n}")
+    g = from_triples(spark, [(e("a"), "http://e/p", literal(1)), (e("a"), RDF_TYPE, e("C")), (e("b"), RDF_TYPE, e("C"))])
+    state = State.of(spark, g).update("INSERT { ?s <http://e/q> ?o } WHERE { ?s <http://e/p> ?o } ; DELETE { ?s ?p ?o } WHERE { ?s ?p ?o FILTER(?p != <http://e/q>) }")
+    assert [(r.s.v, r.p, r.o.v) for r in state.quads.collect()] == [("http://e/a", "http://e/q", "1")]
+    report = validate(g, "@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix e: <http://e/> . e:S a sh:NodeShape ; sh:targetClass e:C ; sh:property [ sh:path e:p ; sh:minCount 1 ] .")
+    assert [r.focus for r in report.collect()] == ["<http://e/b>"]
+    for out in (state.quads, report):  # written, nothing left to plan
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
