@@ -107,3 +107,10 @@ def test_distinct_rows_and_states_are_planned_by_tasks(spark):
     assert [r.focus for r in report.collect()] == ["<http://e/b>"]
     for out in (state.quads, report):  # written, nothing left to plan
         assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_without_shared_variables_are_dealt_over_tasks(spark):
+    a = table_map(spark.range(6).withColumn("x", F.col("id") * 1.0).coalesce(1), "a", ["id"])
+    df = Dataset(spark, [a], prefixes={"v": "http://ex.org/v#"}).query("SELECT ?p ?q WHERE { ?x v:x ?p . ?y v:x ?q FILTER(?p > ?q + 3) }").df
+    assert df.rdd.getNumPartitions() > 1
+    assert rows_of(df) == [(4.0, 0.0), (5.0, 0.0), (5.0, 1.0)]
