@@ -114,3 +114,31 @@ def test_pairs_without_shared_variables_are_dealt_over_tasks(spark):
     df = Dataset(spark, [a], prefixes={"v": "http://ex.org/v#"}).query("SELECT ?p ?q WHERE { ?x v:x ?p . ?y v:x ?q FILTER(?p > ?q + 3) }").df
     assert df.rdd.getNumPartitions() > 1
     assert rows_of(df) == [(4.0, 0.0), (5.0, 0.0), (5.0, 1.0)]
+
+
+def test_tasks_of_written_terms_follow_the_input(spark):
+    from lattica.operators.graphs import from_triples
+    from lattica.operators.rules import inferences
+    from lattica.storage import Tables, distinct_rows, planned_for_terms
+    from lattica.terms import iri
+
+    assert distinct_rows(spark.range(1 << 18)).rdd.getNumPartitions() == 16 > distinct_rows(spark.range(8)).rdd.getNumPartitions()
+    measured = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = spark.conf.get(measured, None)
+    spark.conf.set(measured, "-1")
+    try:
+        rows = spark.range(90_000).select(F.when(F.col("id") < 85_000, "one").otherwise(F.col("id").cast("string")).alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("v"))
+        keys = spark.range(1000).select(F.when(F.col("id") == 0, "one").otherwise(F.col("id").cast("string")).alias("k"), "id")
+        out = Tables(spark).keep(rows.join(keys, "k"))
+        per_task = [r["count"] for r in out.groupBy(F.input_file_name()).count().collect()]
+    finally:
+        spark.conf.unset(measured) if before is None else spark.conf.set(measured, before)
+    assert sum(per_task) == 85_000 and max(per_task) < 60_000  # one key's rows in several tasks
+    kept = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.files.maxPartitionBytes")}
+    with planned_for_terms(spark):
+        assert all(spark.conf.get(k, None) != v for k, v in kept.items())
+    assert {k: spark.conf.get(k, None) for k in kept} == kept
+    e = lambda n: iri(f"http://e/{n}")
+    g = from_triples(spark, [*((e(f"c{i}"), "http://e/in", e("n")) for i in range(9)), (e("n"), "http://e/in", e("r"))])
+    found = inferences(g, "@prefix : <http://e/> . { ?x :in ?y . ?y :in ?z } => { ?x :in ?z } .")
+    assert rows_of(found.select("s.v", "o.v")) == [(f"http://e/c{i}", "http://e/r") for i in range(9)]
